@@ -36,6 +36,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfold.llm.fingerprints import fingerprint_documents, with_neighbours
+
+    return with_neighbours(fingerprint_documents(table(spark, sf_dir, "documents")))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfold.llm.exact_dedup import deduplicate
 
