@@ -20,20 +20,21 @@ from pyspark.sql import functions as F
 from wayfold.plans.scratch import bounded_batches, materialise
 
 WHITE = b" \t\n\x0b\x0c\r"
-DIGESTS = "doc_id long, n_chars long, digest binary"
+DIGESTS = "doc_id long, old boolean, n_chars long, digest binary"
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, digest): code points of the whole text, and SHA-256 of it without white space. Null counts as empty."""
+def digests(docs: DataFrame, old) -> DataFrame:
+    """(doc_id, old, n_chars, digest): code points of the whole text, and SHA-256 of it without white space. Null counts as
+    empty. ``old`` is a column that is true for the rows of the snapshot."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column(1)]
             made = [hashlib.sha256(t.encode("utf-8", "replace").translate(None, WHITE)).digest() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(made, pa.binary())], names=["doc_id", "n_chars", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(map(len, texts)), pa.int64()), pa.array(made, pa.binary())], names=["doc_id", "old", "n_chars", "digest"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(of, DIGESTS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(old, F.lit(False))).mapInArrow(of, DIGESTS)
 
 
 def _mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -110,7 +111,7 @@ class BinaryFuse:
 
 def _keys(column: pa.ChunkedArray) -> np.ndarray:
     """The first eight bytes of each digest."""
-    return np.fromiter((int.from_bytes(d.as_py()[:8], "little") for d in column), dtype=np.uint64, count=len(column))
+    return np.frombuffer(b"".join([d[:8] for d in column.to_pylist()]), dtype="<u8")
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -188,7 +189,7 @@ def deduplicate(docs: DataFrame, in_snapshot=None) -> DataFrame:
     columns are ignored.
     """
     first = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(2)) == 0 if in_snapshot is None else in_snapshot
-    rows = materialise(digests(docs.filter(first)).withColumn("old", F.lit(True)).union(digests(docs.filter(~first)).withColumn("old", F.lit(False))), "digests")
+    rows = materialise(digests(docs, first), "digests")
     snapshot = Snapshot.of(rows.filter("old"))
     fresh = materialise(_groups(rows.filter("NOT old")), "batch")
     old = snapshot.groups.select(F.col("digest").alias("d"), F.col("n").alias("old_n"), F.col("best").alias("old_best"))
