@@ -60,6 +60,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfold.llm.license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
@@ -85,4 +91,6 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 F
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    from wayfold.llm import license_scan
+
+    return ORACLE | {"op10_license_scan": license_scan.oracle_sql()}
