@@ -42,6 +42,12 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_neighbours(fingerprint_documents(table(spark, sf_dir, "documents")))
 
 
+def op6_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayfold.llm.hpylm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayfold.llm.exact_dedup import deduplicate
 
