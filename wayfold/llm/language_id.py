@@ -186,21 +186,23 @@ def train(labelled: DataFrame, order: int = 3, least: int = 24, per_language: in
     return PpmModel(trees, symbols, order)
 
 
-def predictions(docs: DataFrame, model: PpmModel, keep: list[str] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with lang_pred, score and bits_per_byte."""
+def predictions(docs: DataFrame, model: PpmModel, keep: list[str] = ("doc_id",), names: tuple[str, str, str] = ("lang_pred", "score", "bits_per_byte")) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with the language, its score and the bits a byte, under ``names``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+    kept = docs.select(*(f"`{c}`" for c in keep)) if "text" in keep else docs.select(*(f"`{c}`" for c in keep), "text")
+    place, n = kept.columns.index("text"), len(keep)
+    fields = kept.schema.fields[:n]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{names[0]}` string", f"`{names[1]}` double", f"`{names[2]}` double"])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            names, scores, rate = model.predict(batch.column(batch.num_columns - 1).to_pylist())
-            made = [pa.array(names, pa.string()), pa.array(scores), pa.array(rate)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "lang_pred", "score", "bits_per_byte"])
+            lang, scores, rate = model.predict(batch.column(place).to_pylist())
+            made = [pa.array(lang, pa.string()), pa.array(scores), pa.array(rate)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=[*batch.schema.names[:n], *names])
 
     bounded_batches(docs.sparkSession)
-    return kept.mapInArrow(predict, f"{schema}, lang_pred string, score double, bits_per_byte double")
+    return kept.mapInArrow(predict, schema)
 
 
 def held_out(divisor: int = 4, remainder: int = 2):
