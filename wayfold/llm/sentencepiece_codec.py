@@ -64,7 +64,7 @@ class MergeCodec:
                 reachable.add(r)
         self.automaton = ahocorasick.Automaton()
         for r in reachable:
-            self.automaton.add_word(self.text_of[r], r)
+            self.automaton.add_word(self.text_of[r], (len(self.text_of[r]) - 1, r))
         self.automaton.make_automaton()
         self.shorter = [self._shorter(t, reachable) for t in self.text_of]
         self.joined = {}
@@ -75,6 +75,7 @@ class MergeCodec:
                     self.joined[a, b] = r
         self._units = self._unit_pattern()
         self._known: dict[str, tuple[str, int, str]] = {}
+        self._older: dict[str, tuple[str, int, str]] = {}
         self._remembered = remembered
 
     def _merged(self, text: str) -> list[int]:
@@ -95,13 +96,20 @@ class MergeCodec:
 
     def _unit_pattern(self) -> re.Pattern:
         """Cuts a text where no piece goes across: before a space that follows another character, and between letters and
-        other characters if no piece has both."""
+        other characters where no piece has both."""
         pairs = {t[i : i + 2] for t in self.text_of for i in range(len(t) - 1)}
         if any(b == SPACE != a for a, b in pairs):
             return re.compile(r"(?s).+")
-        letter = re.compile(r"[^\W\d_]")
-        mixed = any(SPACE not in p and bool(letter.match(p[0])) != bool(letter.match(p[1])) for p in pairs)
-        return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if mixed else re.compile(rf"{SPACE}*[^\W\d_]+|{SPACE}*(?:(?![^\W\d_])[^{SPACE}])+|{SPACE}+")
+        # Letters that some piece joins to another character count as other characters.
+        letter, odd = re.compile(r"[^\W\d_]"), ""
+        for _ in range(2):
+            mixed = {p for p in pairs if SPACE not in p and bool(letter.match(p[0])) != bool(letter.match(p[1]))}
+            if not mixed:
+                letters = letter.pattern
+                return re.compile(f"{SPACE}*{letters}+|{SPACE}*(?:(?!{letters})[^{SPACE}])+|{SPACE}+")
+            odd = "".join(sorted({ch for p in mixed for ch in p if letter.match(ch)}))
+            letter = re.compile(rf"[^\W\d_{re.escape(odd)}]")
+        return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
     def _fits(self, a: int, b: int) -> bool:
         """Whether piece ``b`` may follow ``a``: undoing their merges, the last first, shows no merge across the border that
@@ -148,10 +156,10 @@ class MergeCodec:
     def encode_unit(self, unit: str) -> list[int]:
         """Ids of one unit, spaces already written as U+2581."""
         longest = [-1] * len(unit)
-        for end, rank in self.automaton.iter(unit):
-            start = end - len(self.text_of[rank]) + 1
-            if longest[start] < 0 or len(self.text_of[longest[start]]) < end - start + 1:
-                longest[start] = rank
+        for end, (before, rank) in self.automaton.iter(unit):
+            longest[end - before] = rank  # ends only grow: the last match from a place is its longest
+        if -1 not in longest:
+            return [self.id_of_rank[r] for r in self._encode_known(unit, longest)]
         ids: list[int] = []
         at = 0
         while at < len(unit):
@@ -171,11 +179,17 @@ class MergeCodec:
         return [self.bytes_at.get(b, self.unknown) for b in char.encode("utf-8", "replace")]
 
     def _unit(self, unit: str) -> tuple[str, int, str]:
+        if (found := self._older.get(unit)) is not None:
+            return self._keep(unit, found)
         ids = self.encode_unit(unit)
         found = (",".join(map(str, ids)), len(ids), self._text(ids))
+        return self._keep(unit, found)
+
+    def _keep(self, unit: str, found: tuple[str, int, str]) -> tuple[str, int, str]:
+        """Two generations: what was used since the last change of generations outlives the next one."""
         if len(unit) <= 64:
             if len(self._known) >= self._remembered:
-                self._known.clear()
+                self._older, self._known = self._known, {}
             self._known[unit] = found
         return found
 
@@ -186,8 +200,8 @@ class MergeCodec:
         """
         if not text:
             return "", 0, ""
-        known, unit = self._known.get, self._unit
-        found = [known(u) or unit(u) for u in self._units.findall(SPACE + text.replace(" ", SPACE))]
+        unit = self._unit
+        found = [self._known.get(u) or unit(u) for u in self._units.findall(SPACE + text.replace(" ", SPACE))]
         ids, counts, texts = zip(*found, strict=True)
         joined = "".join(texts)
         return ",".join(ids), sum(counts), (joined[1:] if joined.startswith(SPACE) else joined).replace(SPACE, " ")
