@@ -31,7 +31,7 @@ class App:
 
     def __init__(self, spark: SparkSession, config: dict, network: Network, registry: Registry | None = None, **context):
         self.spark, self.config, self.registry = spark, config, registry or default_registry()
-        self.network, self.context = network.cached(), context
+        self.network, self.context = network.cached(config.get("edge_buckets")), context
 
     @classmethod
     def from_config_file(cls, spark: SparkSession, path: str | Path, registry: Registry | None = None) -> App:

@@ -6,13 +6,14 @@ any number of attribute columns joined on (edge_list_id, edge_id).
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions.geo import LINE
-from wayfold.plans.scratch import materialise
+from wayfold.plans.scratch import materialise, scratch_dir
 
 KEY = ["edge_list_id", "edge_id"]
 
@@ -60,9 +61,17 @@ class Network:
                 raise NetworkError(f"no {name} for edge {missing[0]['edge_id']} of list {missing[0]['edge_list_id']}")
         return Network(self.vertices, joined, self.turn_restrictions, self.notes)
 
-    def cached(self) -> Network:
-        """The wide edges, with both ends' places, written once."""
-        return Network(self.vertices, materialise(self.wide_edges(), "edges"), self.turn_restrictions, self.notes)
+    def cached(self, buckets: int | None = None) -> Network:
+        """The wide edges, with both ends' places, written once.
+
+        With ``buckets`` they are a table bucketed by ``src``: a search's rounds then join them without an exchange of edges.
+        """
+        wide = self.wide_edges()
+        if buckets is None:
+            return Network(self.vertices, materialise(wide, "edges"), self.turn_restrictions, self.notes)
+        spark, name = wide.sparkSession, f"wayfold_edges_{uuid.uuid4().hex}"
+        wide.repartition(buckets, "src").write.bucketBy(buckets, "src").sortBy("src").option("path", f"{scratch_dir(spark)}/wayfold/{name}").saveAsTable(name)
+        return Network(self.vertices, spark.table(name), self.turn_restrictions, self.notes)
 
     def wide_edges(self) -> DataFrame:
         if "src_x" in self.edges.columns:

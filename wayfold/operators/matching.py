@@ -26,7 +26,9 @@ def nearest(points: DataFrame, boxes: DataFrame, keys: list[str], size: float |
     cells reach, it looks again with twice the reach. Returns point_id, the keys, and d2.
     """
     centres = boxes.select(((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
-    size = size or cell_size(centres)
+    if size is None:  # a box should lie in a few cells only
+        mean = boxes.agg(F.avg(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0] or 0.0
+        size = max(cell_size(centres), float(mean))
     edge = lambda c: F.floor(F.col(c) / size)
     cells = boxes.withColumn("i", F.explode(F.sequence(edge("x0"), edge("x1")))).withColumn("j", F.explode(F.sequence(edge("y0"), edge("y1"))))
     cells = materialise(cells.select(*keys, "x0", "y0", "x1", "y1", "i", "j"), "cells")
