@@ -21,16 +21,16 @@ _GNU = "(?:as published by the free software foundation )?"
 SENTENCES = [
     ("Copyright", "(?:portions )?(?:c )?copyright (?:c )?.*"),
     ("AllRights", "all rights reserved"),
-    ("SpdxMit", "spdx license identifier mit"),
-    ("SpdxApache2", "spdx license identifier apache 2.0"),
-    ("SpdxBsd3", "spdx license identifier bsd 3 clause"),
-    ("SpdxBsd2", "spdx license identifier bsd 2 clause"),
-    ("SpdxIsc", "spdx license identifier isc"),
-    ("SpdxMpl2", "spdx license identifier mpl 2.0"),
-    ("SpdxGpl2", "spdx license identifier gpl 2.0(?: only)?"),
-    ("SpdxGpl2Later", "spdx license identifier gpl 2.0(?: or later|\\+)"),
-    ("SpdxGpl3", "spdx license identifier gpl 3.0(?: only)?"),
-    ("SpdxGpl3Later", "spdx license identifier gpl 3.0(?: or later|\\+)"),
+    ("SpdxMit", "spdx license identifier mit(?: .*)?"),
+    ("SpdxApache2", "spdx license identifier apache 2.0(?: .*)?"),
+    ("SpdxBsd3", "spdx license identifier bsd 3 clause(?: .*)?"),
+    ("SpdxBsd2", "spdx license identifier bsd 2 clause(?: .*)?"),
+    ("SpdxIsc", "spdx license identifier isc(?: .*)?"),
+    ("SpdxMpl2", "spdx license identifier mpl 2.0(?: .*)?"),
+    ("SpdxGpl2Later", "spdx license identifier gpl 2.0(?: or later|\\+)(?: .*)?"),
+    ("SpdxGpl2", "spdx license identifier gpl 2.0(?: only)?(?: .*)?"),
+    ("SpdxGpl3Later", "spdx license identifier gpl 3.0(?: or later|\\+)(?: .*)?"),
+    ("SpdxGpl3", "spdx license identifier gpl 3.0(?: only)?(?: .*)?"),
     ("UnderMit", _UNDER + "mit licen[sc]e(?: \\(?mit\\)?)?"),
     ("UnderApache2", _UNDER + "apache licen[sc]e(?: version)? 2.0(?: the license)?"),
     ("ApacheUse", "you may not use this file except in compliance with the license"),
@@ -99,7 +99,7 @@ RULES = [
 ]
 RULES += [(f"CC-{kind}-{version}", [f"UnderCc{kind.replace('-', '')}{version.replace('.', '')}"]) for kind in _CC for version in ("1.0", "2.0", "2.5", "3.0", "4.0")]
 
-_MARKS, _WRAP, _END = "\\n[ \\t]*(?:#+|//+|\\*+|--+|;+)[ \\t]*", "[ \\t\\r]*\\n[ \\t\\r]*([a-z])", "([.!?;:])[ \\t\\n\\r\\f\\x0B]+"
+_MARKS, _WRAP, _END = "\\n[ \\t]*(?:#+|//+|\\*+|--+|;+)[ \\t]*", "[ \\t\\r]*\\n[ \\t\\r]*([a-z])", "([.!?;])[ \\t\\n\\r\\f\\x0B]+"
 
 
 def _case(value: str, matches) -> str:

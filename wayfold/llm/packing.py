@@ -33,11 +33,11 @@ class CuttingStock:
     ``counts[l]`` is the number of items of length ``l``; index 0 is unused.
     """
 
-    def __init__(self, counts: np.ndarray, capacity: int, gap: float = 0.002, rounds: int = 1200):
+    def __init__(self, counts: np.ndarray, capacity: int, gap: float = 0.002, rounds: int = 4000):
         self.capacity, self.gap, self.rounds = capacity, gap, rounds
         self.lengths = np.flatnonzero(counts)
         self.demand = counts[self.lengths].astype(np.float64)
-        self.bound = 0.0
+        self.bound = float(self.demand @ self.lengths) / capacity  # no plan has fewer sequences
 
     def _price(self, duals: np.ndarray) -> np.ndarray:
         """The most valuable pattern: unbounded knapsack by dynamic programming over the room left."""
