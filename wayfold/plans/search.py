@@ -205,17 +205,33 @@ class Arrays:
     def __init__(self, rows: pd.DataFrame, near: str):
         rows = rows.sort_values([near, "edge_list_id", "edge_id"], kind="stable").reset_index(drop=True)
         self.columns = {c: rows[c].to_numpy() for c in rows.columns}
+        self.lists: dict[str, list] = {}
         self.ids, starts = np.unique(rows[near].to_numpy(), return_index=True)
         self.first = dict(zip(self.ids.tolist(), starts.tolist(), strict=True))
         self.last = dict(zip(self.ids.tolist(), np.append(starts[1:], len(rows)).tolist(), strict=True))
 
-    def edge(self, i: int) -> dict:
-        made = {}
-        for name, values in self.columns.items():
-            v = values[i]
-            v = v.item() if hasattr(v, "item") else v
-            made[name] = None if v is None or v != v else v
-        return made
+    def values(self, name: str) -> list:
+        """A column as Python values, nulls as None; made when it is first asked for."""
+        if name not in self.lists:
+            column = self.columns[name]
+            made = column.tolist()
+            self.lists[name] = [None if v != v else v for v in made] if column.dtype.kind in "fO" else made
+        return self.lists[name]
+
+
+class Edge:
+    """The edge at ``at``, read column by column; ``own`` has what a search adds to it."""
+
+    __slots__ = ("arrays", "at", "own")
+
+    def __init__(self, arrays: Arrays):
+        self.arrays, self.at, self.own = arrays, 0, {}
+
+    def __getitem__(self, name: str):
+        return self.own[name] if name in self.own else self.arrays.values(name)[self.at]
+
+    def get(self, name: str):
+        return self[name] if name in self.own or name in self.arrays.columns else None
 
 
 def _arrays(network: Network, setup: Setup, most: int) -> Arrays:
@@ -236,6 +252,7 @@ def solve(arrays: Arrays, setup: Setup, origin: int, destination: int | None, tu
     best = {root: (0.0, 0.0, 0.0, None, None, None, None, 0, start)}
     heading: dict = {root: None}
     queue, settled, count, began = [(0.0, 0, root)], set(), 1, time.monotonic()
+    edge = Edge(arrays)
 
     def bound(vertex: int) -> float:
         if place is None or destination is None:
@@ -257,11 +274,11 @@ def solve(arrays: Arrays, setup: Setup, origin: int, destination: int | None, tu
         if at[0] == destination:
             break
         row = best[at]
+        edge.own["prev_departure_heading"] = heading[at]
         for i in range(arrays.first.get(at[0], 0), arrays.last.get(at[0], 0)):
-            edge = arrays.edge(i)
+            edge.at = i
             if row[4] is not None and turns and (row[4], edge["edge_id"]) in turns:
                 continue
-            edge["prev_departure_heading"] = heading[at]
             if setup.constraint.allows(Numbers, edge, row[8]) is False:
                 continue
             state = step(Numbers, setup.models, setup.features, edge, row[8], setup.q)
@@ -301,7 +318,9 @@ def kernel(network: Network, requests: DataFrame, setup: Setup, most: int = KERN
                 made["state"] = [dict(zip(names, s, strict=True)) for s in made["state"]]
                 yield made
 
-    return requests.select("query_id", "origin", "destination").repartition("query_id").mapInPandas(run, TREE.format(state=setup.state_type()))
+    # A number of partitions of our own: the rows are few, but each of them is much work.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return requests.select("query_id", "origin", "destination").repartition(tasks, "query_id").mapInPandas(run, TREE.format(state=setup.state_type()))
 
 
 def _without_frames(setup: Setup) -> Setup:
