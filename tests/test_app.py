@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from tests.networks import SQUARE, kilometres, network, requests
 from wayfold import cli
 from wayfold.app import App
-from wayfold.operators import output
+from wayfold.operators import energy, output
 from wayfold.operators.graph import NetworkError
-from wayfold.plans.paths import routes
+from wayfold.plans.paths import labels_at, parents, routes
 from wayfold.plans.search import relax
 from wayfold.registry import default_registry
 from wayfold.sources import config as cfg
@@ -74,6 +74,29 @@ def test_bad_requests_do_not_stop_the_others(spark, folder):
     assert sorted("error" in r for r in got) == [False, True, True]
 
 
+def test_constraints_costs_stations_and_vehicles_of_a_configuration(spark, folder):
+    (folder / "limits.csv").write_text("edge_id,name,value,operation,unit\n7,height,3,<,meters\n")
+    (folder / "turns.csv").write_text("prev_edge_id,next_edge_id\n2,4\n")
+    (folder / "fees.csv").write_text("vertex_id,cost\n3,100\n")
+    (folder / "stations.csv").write_text("power_type,power_kw,cost_per_kwh,x,y\ndcfc,150,0.3,0.0,0.1\n")
+    base = cfg.load(folder / "app.toml")
+    limited = cfg.merge(base, {"constraint": {"type": "vehicle_restriction", "vehicle_restriction_input_file": str(folder / "limits.csv")}})
+    app = App.from_dict(spark, limited)
+    low, high, none = app.run([{"origin_vertex": 0, "destination_vertex": 3, "vehicle_parameters": p} for p in ([{"type": "height", "value": 2, "unit": "meters"}], [{"type": "height", "value": 20, "unit": "feet"}])] + [{"origin_vertex": 0, "destination_vertex": 3}])
+    assert edges_of(low) == [7] and edges_of(high) == [0, 2, 4] and "vehicle_parameters" in none["error"]
+    turned = cfg.merge(base, {"constraint": {"type": "combined", "models": [{"type": "no_restriction"}, {"type": "turn_restriction", "turn_restriction_input_file": str(folder / "turns.csv")}]}})
+    assert edges_of(App.from_dict(spark, turned).run({"origin_vertex": 1, "destination_vertex": 3})) == [1, 7]
+    priced = cfg.merge(base, {"cost": {"vertex_cost_input_file": str(folder / "fees.csv"), "weights": {"edge_distance": 1.0, "trip_distance": 0.0}, "vehicle_rates": {"edge_distance": {"type": "distance", "factor": 1.0, "unit": "km"}}, "network_rates": {"edge_distance": ["vertex_cost"]}}})
+    assert edges_of(App.from_dict(spark, priced).run({"origin_vertex": 0, "destination_vertex": 2})) == [0, 2]
+    grid = energy.Prediction([("edge_speed", "speed", "mph")], [(0.0, 100.0, 2)], [0.5, 0.5], "kilowatt_hours_per_mile")
+    fleet = energy.VehicleLibrary({"E": ("bev", {"prediction": grid, "capacity_kwh": 1.0})})
+    electric = cfg.merge(base, {"charging_station_input_file": str(folder / "stations.csv"), "traversal": {"type": "combined", "models": [{"type": "distance"}, {"type": "speed"}, {"type": "time"}, {"type": "energy"}, {"type": "simple_charging"}]}, "response_persistence_policy": "persist_response_in_memory"})
+    app = App.from_dict(spark, electric, vehicles=fleet)
+    got, lost = app.run([{"origin_vertex": 3, "destination_vertex": 1, "model_name": "E", "starting_soc_percent": 50, "weights": {"trip_distance": 1.0}}, {"origin_vertex": 3, "destination_vertex": 1, "model_name": "X"}])
+    assert got["traversal_summary"]["trip_energy_electric"] > 0 and "unknown vehicle" in lost["error"]
+    assert App.from_dict(spark, cfg.merge(base, {"response_persistence_policy": "discard_response_from_memory"})).run([{"origin_vertex": 0}]) == []
+
+
 @pytest.mark.parametrize("algorithm", [{"type": "yens", "k": 2}, {"type": "single_via_paths", "k": 2, "similarity": {"type": "edge_id_cosine", "threshold": 0.9}}])
 def test_alternatives(spark, folder, algorithm):
     config = cfg.merge(cfg.load(folder / "app.toml"), {"algorithm": algorithm})
@@ -191,6 +214,8 @@ def test_mappings_and_sinks(spark, tmp_path):
 def test_outputs(spark):
     n, asked, setup = network(spark, SQUARE, [(0, 0), (1, 0), (1, 1), (0, 1)]), requests(spark, [(0, 1), (0, 0), (2, 3)]), kilometres()
     tree = relax(n, asked.withColumn("destination", F.lit(None).cast("long")), setup)
+    assert labels_at(tree, spark.createDataFrame([(1,)], "vertex_id long")).count() == 3
+    assert [r.vertex_id for r in parents(tree, spark.createDataFrame([(0, 3, 0)], "query_id long, vertex_id long, bin int")).collect()] == [0]
     way = routes(tree, asked)
     made = output.path_summary(way, setup.features, {"edge_distance": "max"}).orderBy("query_id").collect()
     assert [(r.query_id, round(r.trip_distance * 1.609344, 6), round(r.edge_distance * 1.609344, 6), r.n_edges) for r in made] == [(0, 5, 2, 3), (2, 1, 1, 1)]

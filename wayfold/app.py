@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions.units import convert
 from wayfold.operators import output, shaping
-from wayfold.operators.cost import CostModel, Rate
+from wayfold.operators.cost import CostModel, Rate, with_network_costs
 from wayfold.operators.graph import Network
 from wayfold.operators.matching import match_requests
 from wayfold.operators.models import Speed, fastest_mph
@@ -34,16 +34,16 @@ class App:
         self.network, self.context = network.cached(config.get("edge_buckets")), context
 
     @classmethod
-    def from_config_file(cls, spark: SparkSession, path: str | Path, registry: Registry | None = None) -> App:
-        return cls.from_dict(spark, cfg.load(path), registry)
+    def from_config_file(cls, spark: SparkSession, path: str | Path, registry: Registry | None = None, **context) -> App:
+        return cls.from_dict(spark, cfg.load(path), registry, **context)
 
     @classmethod
-    def from_dict(cls, spark: SparkSession, config: dict, registry: Registry | None = None) -> App:
+    def from_dict(cls, spark: SparkSession, config: dict, registry: Registry | None = None, **context) -> App:
+        """``context`` has what models need beside files: ``vehicles`` (a VehicleLibrary), ``uuids``."""
         config = cfg.merge(cfg.DEFAULTS, config)
         graph = cfg.section(config, "graph")
         lists = cfg.one_or_many(graph.get("edge_list_input_files") or graph.get("edge_list_input_file") or [e["input_file"] for e in cfg.one_or_many(graph.get("edge_list", []))])
         network = files.read_network(spark, graph["vertex_list_input_file"], lists)
-        context: dict = {}
         for name, spec in config.get("attributes", {}).items():
             network = network.with_attribute(files.read_attribute(spark, spec["input_file"], spec.get("kind", "f64")), name)
         constraint = config.get("constraint", {})
@@ -54,6 +54,13 @@ class App:
                 from wayfold.operators.constraints import normalised_restrictions
 
                 context["vehicle_restrictions"] = normalised_restrictions(files.read_vehicle_restrictions(spark, part["vehicle_restriction_input_file"]))
+        stations = config.get("charging_station_input_file")
+        if stations:
+            network = files.with_stations(network, files.read_stations(spark, stations, network))
+        for kind in ("edge", "vertex"):
+            path = config.get("cost", {}).get(f"{kind}_cost_input_file")
+            if path:
+                network.edges = with_network_costs(network.edges, **{f"{kind}_costs": files.read_network_costs(spark, path, f"{kind}_id")}, name=f"{kind}_cost")
         geometry = config.get("mapping", {}).get("geometry_input_file")
         context["lines"] = files.read_lines_of_edges(spark, geometry, network) if geometry else network.straight_lines()
         return cls(spark, config, network, registry, **context)
@@ -162,5 +169,7 @@ class App:
         rows = self.spark.createDataFrame([(i, json.dumps(q)) for i, q in enumerate(many)], "query_id long, request string")
         answered = materialise(self.run_frame(rows), "responses")
         sink_of(self.config.get("response_output_policy")).write(answered)
+        if self.config["response_persistence_policy"] == "discard_response_from_memory":
+            return []
         out = [json.loads(r["response"]) for r in answered.orderBy("query_id").toLocalIterator()]
         return out if isinstance(queries, list) else out[0]

@@ -12,7 +12,7 @@ FACTORS: dict[str, dict[str, float]] = {
     "speed": {"kph": 1000.0 / 3600.0, "mph": 1609.344 / 3600.0, "mps": 1.0},
     "energy": {"kilowatt_hours": 3.6e6, "gallons_gasoline_equivalent": 1.26832984e8, "gallons_diesel_equivalent": 1.449452e8, "liters_gasoline_equivalent": 3.350554e7, "liters_diesel_equivalent": 3.8290236e7},
     "ratio": {"percent": 0.01, "decimal": 1.0, "millis": 0.001},
-    "weight": {"pounds": 0.45359237, "tons": 907.18474, "kilograms": 1.0},
+    "weight": {"pounds": 0.45359237, "tons": 1000.0, "kilograms": 1.0},
     "volume": {"gallons_us": 3.785411784, "gallons_uk": 4.54609, "liters": 1.0},
 }
 # Other names of units. Time's are case-sensitive, the rest are not.

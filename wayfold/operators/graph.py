@@ -180,7 +180,7 @@ def _spread(colours: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataF
     colours = materialise(colours.withColumn("fresh", F.lit(True)), "colours")
     for _ in range(rounds):
         sent = colours.filter("fresh").join(edges, F.col("vertex_id") == F.col("src")).groupBy("dst").agg(F.min("colour").alias("got"))
-        colours = materialise(colours.join(sent, F.col("vertex_id") == F.col("dst"), "left").select("vertex_id", F.least("colour", F.coalesce("got", "colour")).alias("colour"), F.coalesce(F.col("got") < F.col("colour"), F.lit(False)).alias("fresh")), "colours")
+        colours = materialise(colours.join(sent, F.col("vertex_id") == F.col("dst"), "left").select("vertex_id", F.least("colour", F.coalesce("got", "colour")).alias("colour"), F.coalesce(F.col("got") < F.col("colour"), F.lit(False)).alias("fresh")), "colours", colours)
         if colours.filter("fresh").isEmpty():
             return colours.select("vertex_id", "colour")
     raise RuntimeError("colours did not settle")
@@ -195,7 +195,7 @@ def _reach_back(roots: DataFrame, colours: DataFrame, inside: DataFrame, rounds:
         fresh = materialise(back.join(reached, "vertex_id", "left_anti"), "fresh")
         if fresh.isEmpty():
             return reached
-        reached = materialise(reached.unionByName(fresh), "reached")
+        reached = materialise(reached.unionByName(fresh), "reached", reached)
     raise RuntimeError("reachability did not settle")
 
 

@@ -14,6 +14,18 @@ def leaves(tree: DataFrame, targets: DataFrame) -> DataFrame:
     return at.groupBy("query_id", "vertex_id").agg(F.min(F.struct("g", "bin")).alias("m")).select("query_id", "vertex_id", "m.bin", "m.g")
 
 
+def labels_at(tree: DataFrame, vertices: DataFrame) -> DataFrame:
+    """All labels of the tree at the vertices (vertex_id)."""
+    return tree.join(vertices.select("vertex_id"), "vertex_id", "left_semi")
+
+
+def parents(tree: DataFrame, labels: DataFrame) -> DataFrame:
+    """The tree's rows for the parents of labels (query_id, vertex_id, bin); a root has none."""
+    up = tree.join(labels.select("query_id", "vertex_id", "bin"), ["query_id", "vertex_id", "bin"], "left_semi").filter("parent_vertex IS NOT NULL")
+    keys = up.select("query_id", F.col("parent_vertex").alias("vertex_id"), F.col("parent_bin").alias("bin")).distinct()
+    return tree.join(keys, ["query_id", "vertex_id", "bin"], "left_semi")
+
+
 def backtrack(tree: DataFrame, targets: DataFrame, depth: int | None = None, direction: str = "forward") -> DataFrame:
     """The edges from the root to each target (query_id, vertex_id), or the last ``depth`` of them, with their position.
 

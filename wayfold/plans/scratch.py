@@ -10,10 +10,12 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_paths: dict[int, str] = {}  # by the identity of frames that are alive
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -27,13 +29,27 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it again: computed once, and not lost with an executor."""
+def materialise(df: DataFrame, tag: str, replaces: DataFrame | None = None) -> DataFrame:
+    """Writes ``df`` as Parquet into the shared folder and reads it again: computed once, and not lost with an executor.
+
+    ``replaces`` is a frame made here before that nothing but ``df`` needs: its table is deleted, so that a loop keeps one.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/wayfold/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    _paths[id(made)] = path
+    weakref.finalize(made, _paths.pop, id(made), None)
+    if replaces is not None and (old := _paths.get(id(replaces))):
+        _delete(spark, old)
+        _written[:] = [w for w in _written if w[1] != old]
+    return made
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def clear(spark: SparkSession) -> None:
@@ -41,8 +57,7 @@ def clear(spark: SparkSession) -> None:
     global _written
     for owner, path in _written:
         with contextlib.suppress(Exception):
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
     _written = []
 
 
@@ -56,5 +71,6 @@ def _clear_at_exit() -> None:
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keeps Arrow batches of long texts small: a batch is one unit of Python memory."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if now <= 0 or now > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

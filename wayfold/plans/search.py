@@ -159,7 +159,7 @@ def relax(network: Network, requests: DataFrame, setup: Setup, cut: DataFrame |
     for number in range(1, rounds + 1):
         frontier = best.filter(F.col("round") == number - 1)
         if has_targets:  # a label that costs as much as the way already found leads nowhere better
-            found = best.join(F.broadcast(targets), (F.col("query_id") == F.col("tq")) & (F.col("vertex_id") == F.col("tv"))).groupBy("tq").agg(F.min("g").alias("bound"))
+            found = best.join(targets, (F.col("query_id") == F.col("tq")) & (F.col("vertex_id") == F.col("tv"))).groupBy("tq").agg(F.min("g").alias("bound"))
             frontier = frontier.join(found, F.col("query_id") == F.col("tq"), "left").filter("bound IS NULL OR g < bound").drop("tq", "bound")
         before_edge = frontier.select("query_id", F.col("vertex_id").alias("parent_vertex"), F.col("bin").alias("parent_bin"), "g", "depth", F.col("state").alias("before"), F.col("edge_list_id").alias("prev_list"), F.col("edge_id").alias("prev_edge_id"))
         if setup.history and "departure_heading" in columns:
@@ -185,7 +185,7 @@ def relax(network: Network, requests: DataFrame, setup: Setup, cut: DataFrame |
         both = best.unionByName(new).select("query_id", "vertex_id", "bin", packed.alias("s"))
         # Nulls come first: a root is kept before any edge that leads back to it.
         kept = both.groupBy("query_id", "vertex_id", "bin").agg(F.min("s").alias("s")).select("query_id", "vertex_id", "bin", "s.*").select(*best.columns)
-        best = materialise(kept, "best")
+        best = materialise(kept, "best", best)
         told = best.agg(F.count("*").alias("n"), F.max("round").alias("last")).first()
         if told["last"] is None or told["last"] < number:
             break
@@ -303,7 +303,9 @@ def kernel(network: Network, requests: DataFrame, setup: Setup, most: int = KERN
     turns = set().union(*(t.kernel_pairs() for t in setup.turns)) if setup.turns else set()
     place = None
     if setup.heuristic:
-        place = {r["vertex_id"]: (r["x"], r["y"]) for r in network.vertices.limit(most // 64).collect()}
+        if network.vertices.count() * 64 > most:
+            raise SearchError("too many vertices for a kernel's heuristic: use the relational search")
+        place = {r["vertex_id"]: (r["x"], r["y"]) for r in network.vertices.collect()}
     bare = _without_frames(setup)
     rest = spark.sparkContext.broadcast((bare, turns, place))
     names = [f.name for f in setup.features]

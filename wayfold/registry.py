@@ -51,7 +51,7 @@ def default_registry() -> Registry:
     k("no_restriction", lambda s, c: constraints.NoRestriction())
     k("road_class", lambda s, c: constraints.RoadClass((c or {}).get("q", {}).get("road_classes"), s.get("column", "road_class")))
     k("turn_restriction", lambda s, c: constraints.TurnRestriction(c["turn_restrictions"]))
-    k("vehicle_restriction", lambda s, c: constraints.VehicleRestriction(c["vehicle_restrictions"], c.get("q", {}).get("vehicle_parameters")))
+    k("vehicle_restriction", lambda s, c: constraints.VehicleRestriction(c["vehicle_restrictions"], vehicle_parameters(c.get("q", {}).get("vehicle_parameters"))))
     k("battery_frontier", lambda s, c: constraints.Battery(s.get("soc_lower_bound_percent", 0.0) / 100.0))
     r.register("label", "vertex", lambda s, c: labels.VertexLabel())
     r.register("label", "soc", lambda s, c: labels.SocBins(s.get("bins") or [float(x) for x in range(10, 101, 10)]))
@@ -67,6 +67,16 @@ def default_registry() -> Registry:
     return r
 
 
+def vehicle_parameters(given: list | None) -> list[tuple[str, float, str]] | None:
+    """(name, value, unit) of a request's list of objects with ``type``, ``value`` and ``unit``."""
+    if given is None:
+        return None
+    try:
+        return [(g["type"], float(g["value"]), g["unit"]) if isinstance(g, dict) else tuple(g) for g in given]
+    except (KeyError, TypeError, ValueError) as e:
+        raise constraints.ConstraintError(f"vehicle_parameters need type, value and unit: {e}") from e
+
+
 def _balancer(spec: dict):
     kind = spec.get("type")
     if kind == "haversine":

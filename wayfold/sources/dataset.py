@@ -42,7 +42,7 @@ def imputed_speeds(edges: DataFrame) -> DataFrame:
     """speed_kph: the tagged one, else its class's mean, else the mean of all."""
     by_class = edges.groupBy("highway").agg(F.avg("maxspeed_kph").alias("__class"))
     overall = edges.agg(F.avg("maxspeed_kph").alias("__all"))
-    return edges.join(F.broadcast(by_class), "highway", "left").join(F.broadcast(overall)).withColumn("speed_kph", F.coalesce("maxspeed_kph", "__class", "__all")).drop("__class", "__all")
+    return edges.join(by_class, "highway", "left").join(F.broadcast(overall)).withColumn("speed_kph", F.coalesce("maxspeed_kph", "__class", "__all")).drop("__class", "__all")
 
 
 def grades(edges: DataFrame, elevations: DataFrame) -> DataFrame:
