@@ -77,7 +77,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = lesser.groupBy("a").agg(F.min("b").alias("m"))
         linked = lesser.join(small, "a")
         after = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(small.select("a", F.col("m").alias("b"))).distinct()
-        now = materialise(after, "edges")
+        now = materialise(after, "edges", now)
         stats = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(stats) == before:
             break
