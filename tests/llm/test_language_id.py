@@ -1,3 +1,4 @@
+import functools
 import math
 import random
 from collections import Counter
@@ -38,22 +39,18 @@ def slow_bits(grams, data, order, least):
     contexts = {c for c in totals if totals[c] >= least} | {b""}
     bits = 0.0
 
-    def chance(context, byte):
+    @functools.cache
+    def chances(context):
         counts = {g[-1]: n for g, n in grams.items() if g[:-1] == context}
-        if context:
-            below = {b: chance(context[1:], b) for b in range(256)}
-        else:
-            below = {b: 1 / 256 for b in range(256)}
-        total, kinds = sum(counts.values()), len(counts)
-        if byte in counts:
-            return counts[byte] / (total + kinds)
-        return below[byte] / max(1 - sum(below[b] for b in counts), 1e-12) * kinds / (total + kinds)
+        below = chances(context[1:]) if context else [1 / 256] * 256
+        total, kinds, left = sum(counts.values()), len(counts), max(1 - sum(below[b] for b in counts), 1e-12)
+        return [counts[b] / (total + kinds) if b in counts else below[b] / left * kinds / (total + kinds) for b in range(256)]
 
     for i, byte in enumerate(data):
         context = data[max(0, i - order) : i]
         while context not in contexts or not all(context[k:] in contexts for k in range(len(context))):
             context = context[1:]
-        bits -= math.log2(chance(context, byte))
+        bits -= math.log2(chances(context)[byte])
     return bits
 
 
