@@ -90,6 +90,9 @@ def test_nearest_vertex(spark):
     n = network(spark, [(0, 1, 1), (1, 2, 1)], [(0, 0), (1, 1), (2, 2)])
     got = {r.point_id: r.vertex_id for r in matching.nearest_vertex(points(spark, [(0, 0.101, 0.101), (1, 1.901, 2.101), (2, 90.0, 80.0), (3, 0.5, 0.5)]), n).collect()}
     assert got == {0: 0, 1: 2, 2: 2, 3: 0}
+    n.vertices = n.vertices.limit(0)
+    none = matching.nearest_vertex(points(spark, [(0, 0.1, 0.1)]), n)
+    assert none.columns == ["point_id", "vertex_id", "d2"] and none.count() == 0
 
 
 def test_nearest_against_brute_force(spark):

@@ -34,7 +34,7 @@ def nearest(points: DataFrame, boxes: DataFrame, keys: list[str], size: float |
     cells = materialise(cells.select(*keys, "x0", "y0", "x1", "y1", "i", "j"), "cells")
     around = cells.agg(F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("j").alias("j0"), F.max("j").alias("j1")).first()
     if around["i0"] is None:
-        return points.select("point_id").limit(0).crossJoin(boxes.select(*keys).limit(0)).withColumn("d2", F.lit(0.0))
+        return points.select("point_id", *[F.lit(None).cast(boxes.schema[k].dataType).alias(k) for k in keys], F.lit(0.0).alias("d2")).limit(0)
     left, done, reach = materialise(points.select("point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), "points"), None, 1
     far = lambda lo, v, hi: F.greatest(F.col(lo) - F.col(v), F.lit(0.0), F.col(v) - F.col(hi))
     for _ in range(rounds):
