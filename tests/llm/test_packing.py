@@ -71,3 +71,15 @@ def test_a_hot_length_is_spread(spark):
     assert rows.count() == 2000
     per = rows.groupBy("sequence_id").count().agg({"count": "max"}).first()[0]
     assert per * rows.first().length <= 2048
+
+
+def test_ids_of_the_end_token_s_string_equal_the_untouched_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from wayfold.llm.packing import _ids_of
+
+    untouched = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("a <|endoftext|>b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y", "<|endoftext|", "plain words, 12"):
+        assert list(_ids_of("byte_bpe_50k.json")(text)) == untouched.encode(text, add_special_tokens=False).ids
+    assert _ids_of("byte_bpe_50k.json")("a <|endoftext|> b") == [64, 220, 50256, 275]

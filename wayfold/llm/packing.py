@@ -146,14 +146,14 @@ def plan_rows(counts: np.ndarray, capacity: int, gap: float = 0.002) -> list[tup
     return rows
 
 
-def _encoder(ranks_path: str, pattern: str):
+def _encoder(ranks_path: str, pattern: str, added: dict[str, int]):
     import base64
 
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks={a: b for a, b in ranks.items() if b not in added.values()}, special_tokens=added)
 
 
 _loaded: dict = {}
@@ -162,8 +162,8 @@ _loaded: dict = {}
 def _ids_of(vocabulary: str):
     """text -> ids, equal to those of the tokenizer file ``vocabulary``.
 
-    ``name.tiktoken`` beside ``name.json`` holds the same merges; where it lies there, its faster reader does the work. Special
-    tokens' strings are ordinary text.
+    ``name.tiktoken`` beside ``name.json`` holds the same merges; where it lies there, its faster reader does the work. The
+    strings of the file's added tokens are matched first and become their ids, as in the file's tokenizer.
     """
     if vocabulary not in _loaded:
         import os
@@ -174,14 +174,17 @@ def _ids_of(vocabulary: str):
         if os.path.exists(path.replace(".json", ".tiktoken")):
             ranks = path.replace(".json", ".tiktoken")
         if ranks:
-            coder = _encoder(ranks, public_tokenizers.PATTERN)
-            _loaded[vocabulary] = coder.encode_ordinary
+            import json
+
+            with open(path, encoding="utf-8") as f:
+                added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+            coder = _encoder(ranks, public_tokenizers.PATTERN, added)
+            _loaded[vocabulary] = lambda text: coder.encode(text, allowed_special="all")
         else:
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
             _loaded[vocabulary] = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
     return _loaded[vocabulary]
 
