@@ -180,6 +180,20 @@ def test_single_via(spark):
     assert [[e.edge_id for e in r.edges] for r in got] == [[0, 1], [2, 3]] and [r.cost for r in got] == [2, 3]
 
 
+def test_single_via_goes_past_a_long_shortest_route(spark):
+    # Thirteen vertices of the shortest route tie at the least cost; the other route's come after them.
+    rows = [(i, i + 1, 1) for i in range(12)] + [(0, 13, 8), (13, 12, 8)]
+    got = ksp.single_via(network(spark, rows), requests(spark, [(0, 12)]), kilometres(), k=2, similarity=ksp.Similarity("edge_id_cosine", 0.8), candidates=4).orderBy("route_idx").collect()
+    assert [[e.edge_id for e in r.edges] for r in got] == [list(range(12)), [12, 13]] and [r.cost for r in got] == [12, 16]
+
+
+def test_yens_goes_on_until_k_routes_are_not_alike(spark):
+    # The second and third routes share most edges with the first; the fourth shares none.
+    rows = [(0, 1, 1), (1, 2, 1), (2, 3, 1), (3, 4, 1), (3, 4, 1.5), (3, 4, 1.75), (0, 5, 4), (5, 4, 4)]
+    got = ksp.yens(network(spark, rows), requests(spark, [(0, 4)]), kilometres(), k=2, similarity=ksp.Similarity("edge_id_cosine", 0.5)).orderBy("route_idx").collect()
+    assert [[e.edge_id for e in r.edges] for r in got] == [[0, 1, 2, 3], [6, 7]] and [r.cost for r in got] == [4, 8]
+
+
 def test_similarity_and_equality(spark):
     route = lambda ids: spark.createDataFrame([(0, 0, i, float(i + 1)) for i in ids], "query_id long, edge_list_id int, edge_id long, distance_m double")
     got = lambda a, b, w=False: ksp.cosine(route(a), route(b), ["query_id"], w).first().similarity

@@ -65,30 +65,47 @@ def choose(candidates: DataFrame, k: int, similarity: Similarity, schema: str) -
     return candidates.groupBy("query_id").applyInPandas(pick, schema)
 
 
+#: Via-vertices of a request in one round: its candidates are decided together.
+MOST_VIAS = 4096
 CANDIDATE = "query_id long, rank int, cost double, edges array<struct<edge_list_id:int,edge_id:long,distance_m:double>>"
 
 
 def single_via(network: Network, requests: DataFrame, setup: Setup, k: int = 3, similarity: Similarity = Similarity("edge_id_cosine", 0.8), candidates: int = 50) -> DataFrame:
     """Up to k routes of each request by way of a vertex, in order of cost: query_id, route_idx, cost, edges.
 
-    Trees from the origin and to the destination meet in the via-vertices; the ``candidates`` cheapest of these (a parameter
-    of the method: alternatives beyond them are not looked at) are joined, those with a loop are left out, and the others are
-    taken in order unless alike.
+    Trees from the origin and to the destination meet in the via-vertices, which are taken by cost: the ``candidates`` cheapest
+    first, then for requests that still lack routes twice as many a round (at most ``MOST_VIAS`` each), until none are left.
+    Routes with a loop are left out, and the others are taken in order unless alike.
     """
     forward = relax(network, requests.withColumn("destination", F.lit(None).cast("long")), replace(setup, direction="forward"))
     back = relax(network, requests.select("query_id", F.col("destination").alias("origin"), F.lit(None).cast("long").alias("destination")), replace(setup, direction="reverse"))
     meet = forward.select("query_id", "vertex_id", F.col("g").alias("gf")).join(back.select("query_id", "vertex_id", F.col("g").alias("gb")), ["query_id", "vertex_id"])
     order = Window.partitionBy("query_id").orderBy("cost", "vertex_id")
-    via = materialise(meet.withColumn("cost", F.round(F.col("gf") + F.col("gb"), 9)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= candidates), "via")
-    first = backtrack(forward, via).withColumn("half", F.lit(0))
-    second = backtrack(back, via, direction="reverse").withColumn("half", F.lit(1))
-    rows = first.unionByName(second).join(network.edges.select("edge_list_id", "edge_id", "distance_m"), ["edge_list_id", "edge_id"])
-    whole = rows.groupBy("query_id", "target").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("half", "pos", "edge_list_id", "edge_id", "distance_m"))), lambda x: F.struct(x["edge_list_id"], x["edge_id"], x["distance_m"])).alias("edges"),
-        (F.count_distinct("from_vertex") < F.count("*")).alias("loop"),
-    )
-    made = whole.filter("NOT loop").join(via, (whole["query_id"] == via["query_id"]) & (whole["target"] == via["vertex_id"])).select(whole["query_id"], F.col("rank").cast("int").alias("rank"), "cost", "edges")
-    return choose(made, k, similarity, f"{CANDIDATE}, route_idx int").select("query_id", "route_idx", "cost", "edges")
+    vias = materialise(meet.withColumn("cost", F.round(F.col("gf") + F.col("gb"), 9)).withColumn("rank", F.row_number().over(order)), "vias")
+    lengths, columns = network.edges.select("edge_list_id", "edge_id", "distance_m"), ["query_id", "rank", "cost", "edges"]
+    accepted, lacking, seen, size = None, vias.select("query_id").distinct(), 0, candidates
+    while True:
+        via = materialise(vias.filter((F.col("rank") > seen) & (F.col("rank") <= seen + size)).join(lacking, "query_id", "left_semi"), "via")
+        if via.isEmpty():
+            break
+        first = backtrack(forward, via).withColumn("half", F.lit(0))
+        second = backtrack(back, via, direction="reverse").withColumn("half", F.lit(1))
+        rows = first.unionByName(second).join(lengths, ["edge_list_id", "edge_id"])
+        whole = rows.groupBy("query_id", "target").agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("half", "pos", "edge_list_id", "edge_id", "distance_m"))), lambda x: F.struct(x["edge_list_id"], x["edge_id"], x["distance_m"])).alias("edges"),
+            (F.count_distinct("from_vertex") < F.count("*")).alias("loop"),
+        )
+        made = whole.filter("NOT loop").join(via, (whole["query_id"] == via["query_id"]) & (whole["target"] == via["vertex_id"])).select(whole["query_id"], F.col("rank").cast("int").alias("rank"), "cost", "edges")
+        # Equal routes by way of several vertices are one candidate; what was accepted before comes first again.
+        made = made.groupBy("query_id", "edges").agg(F.min(F.struct("rank", "cost")).alias("m")).select("query_id", "m.rank", "m.cost", "edges")
+        pool = made if accepted is None else accepted.select(*columns).unionByName(made)
+        accepted = materialise(choose(pool, k, similarity, f"{CANDIDATE}, route_idx int"), "accepted", accepted)
+        full = accepted.groupBy("query_id").count().filter(F.col("count") >= k)
+        lacking = lacking.join(full, "query_id", "left_anti")
+        lacking = materialise(lacking, "lacking")
+        seen, size = seen + size, min(2 * size, max(candidates, MOST_VIAS))
+    empty = "query_id long, route_idx int, cost double, edges array<struct<edge_list_id:int,edge_id:long,distance_m:double>>"
+    return requests.sparkSession.createDataFrame([], empty) if accepted is None else accepted.select("query_id", "route_idx", "cost", "edges")
 
 
 @dataclass(frozen=True)
@@ -106,8 +123,8 @@ def yens(network: Network, requests: DataFrame, setup: Setup, k: int = 3, simila
     """Up to k loopless routes of each request in order of cost (ties by edge ids): query_id, route_idx, cost, edges.
 
     All requests go on together: a round cuts the accepted routes' next edges at every spur of the last accepted route, and
-    answers all spurs of the batch in one search. Spurs without a way give nothing. For models whose cost does not depend on
-    the path.
+    answers all spurs of the batch in one search. Spurs without a way give nothing. With a similarity, a request goes on until
+    k of its routes are not alike, no route is left, or the limit is reached. For models whose cost does not depend on the path.
     """
     if setup.history:
         raise ValueError("the costs depend on the path's history")
@@ -116,9 +133,23 @@ def yens(network: Network, requests: DataFrame, setup: Setup, k: int = 3, simila
     route_of = lambda rows: rows.groupBy("query_id", "spur").agg(F.sort_array(F.collect_list(F.struct("pos", "edge_list_id", "edge_id", "from_vertex", "to_vertex", "objective_cost"))).alias("edges"), F.round(F.sum("objective_cost"), 9).alias("cost"))
     best = routes(relax(network, asked, setup), asked).select(*keep).withColumn("spur", F.lit(0))
     accepted = materialise(route_of(best).select("query_id", F.lit(0).alias("route_idx"), "cost", "edges"), "accepted")
-    waiting = None
-    for number in range(1, min(k - 1, limit.rounds(k)) + 1):
-        last = accepted.filter(F.col("route_idx") == number - 1)
+    length = network.edges.select("edge_list_id", "edge_id", "distance_m")
+
+    def chosen() -> DataFrame:
+        slim = accepted.select("query_id", F.col("route_idx").alias("rank"), "cost", "edges")
+        rows = slim.select("query_id", "rank", "cost", F.posexplode("edges").alias("pos", "e")).select("query_id", "rank", "cost", "pos", "e.edge_list_id", "e.edge_id").join(length, ["edge_list_id", "edge_id"])
+        full = rows.groupBy("query_id", "rank", "cost").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "edge_list_id", "edge_id", "distance_m"))), lambda x: F.struct(x["edge_list_id"], x["edge_id"], x["distance_m"])).alias("edges"))
+        return choose(full.select("query_id", F.col("rank").cast("int").alias("rank"), "cost", "edges"), k, similarity, f"{CANDIDATE}, route_idx int").select("query_id", "route_idx", "cost", "edges")
+
+    waiting, lacking, number = None, asked.select("query_id"), 0
+    while number < limit.rounds(k) and (number < k - 1 or similarity.kind != "accept_all"):
+        number += 1
+        if number >= k:
+            # k routes are there; only requests with alike ones among them go on.
+            lacking = materialise(lacking.join(chosen().groupBy("query_id").count().filter(F.col("count") >= k), "query_id", "left_anti"), "lacking")
+            if lacking.isEmpty():
+                break
+        last = accepted.filter(F.col("route_idx") == number - 1).join(lacking, "query_id", "left_semi")
         spurs = last.select("query_id", F.col("edges").alias("own"), F.posexplode("edges").alias("spur", "at")).select("query_id", "spur", F.col("at.from_vertex").alias("origin"), F.slice("own", F.lit(1), F.col("spur")).alias("root"))
         ids = lambda c: F.transform(c, lambda e: F.struct(e["edge_list_id"], e["edge_id"]))
         spurs = spurs.join(asked.select("query_id", "destination"), "query_id").withColumn("spur_id", F.col("query_id") * 100_000 + F.col("spur"))
@@ -136,16 +167,12 @@ def yens(network: Network, requests: DataFrame, setup: Setup, k: int = 3, simila
         new = route_of(heads.join(reached, ["query_id", "spur"], "left_semi").unionByName(tails)).select("query_id", "cost", "edges")
         waiting = materialise((new if waiting is None else waiting.unionByName(new)).dropDuplicates(["query_id", "edges"]).join(accepted.select("query_id", "edges"), ["query_id", "edges"], "left_anti").select("query_id", "cost", "edges"), "waiting")
         order = Window.partitionBy("query_id").orderBy("cost", ids("edges"))
-        took = waiting.withColumn("rank", F.row_number().over(order)).filter("rank = 1").select("query_id", F.lit(number).alias("route_idx"), "cost", "edges")
+        took = waiting.join(lacking, "query_id", "left_semi").withColumn("rank", F.row_number().over(order)).filter("rank = 1").select("query_id", F.lit(number).alias("route_idx"), "cost", "edges")
         before = accepted
         accepted = materialise(before.unionByName(took), "accepted")
         if accepted.filter(F.col("route_idx") == number).isEmpty():
             break
-    slim = accepted.select("query_id", F.col("route_idx").alias("rank"), "cost", "edges")
-    length = network.edges.select("edge_list_id", "edge_id", "distance_m")
-    rows = slim.select("query_id", "rank", "cost", F.posexplode("edges").alias("pos", "e")).select("query_id", "rank", "cost", "pos", "e.edge_list_id", "e.edge_id").join(length, ["edge_list_id", "edge_id"])
-    full = rows.groupBy("query_id", "rank", "cost").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "edge_list_id", "edge_id", "distance_m"))), lambda x: F.struct(x["edge_list_id"], x["edge_id"], x["distance_m"])).alias("edges"))
-    return choose(full.select("query_id", F.col("rank").cast("int").alias("rank"), "cost", "edges"), k, similarity, f"{CANDIDATE}, route_idx int").select("query_id", "route_idx", "cost", "edges")
+    return chosen()
 
 
 def with_end_edges(rows: DataFrame, requests: DataFrame) -> DataFrame:
