@@ -1,4 +1,10 @@
-from wayfold.llm.html_layout import extract, extract_pages
+import random
+import re
+import time
+
+import pytest
+
+from wayfold.llm.html_layout import ALIGNED, extract, extract_pages
 
 
 def text(page):
@@ -32,6 +38,114 @@ def test_preformatted_entities_and_broken_markup():
     assert "deep" in text("<table><tr><td>" * 50 + "deep")
 
 
+def test_an_unclosed_quote_ends_with_its_tag():
+    assert text('<a href="x>y</a> rest') == "y rest"
+    assert text("<p title=don't>a<p title='b>c'>d<i x=\"e\">f</i>") == "a\n\ndf"
+
+
+def test_visibility_is_inherited_and_overridden():
+    assert text("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no<ul><li>no<li style='visibility:visible'>one</ul></div>two") == "yes\n\n- one\n\ntwo"
+    assert text("<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>yes<tr style='visibility:visible'><td>a<td>b</table>") == "   yes\na  b"
+    assert text("<pre style='visibility:hidden'>no<b style='visibility:visible'>yes</b></pre>") == "yes"
+
+
+@pytest.mark.parametrize("page", ["<table><tr><td>" * 5000 + "deep", "<table><tr><td>a<td>" * 5000 + "deep", "<blockquote>" * 20_000 + "deep", "<ul><li>x" * 5000 + "deep", "<b><div>" * 20_000 + "</b>" * 20_000 + "deep", "<p>" + "<span>" * 20_000 + "<div>" * 20_000 + "deep"], ids=lambda p: p[:8])
+def test_depth_loses_nothing_and_costs_little(page):
+    began = time.monotonic()
+    got = text(page)
+    assert got.endswith("deep") and len(got) < 20 * len(page) and time.monotonic() - began < 20
+
+
+def test_hidden_text_stays_hidden_at_any_depth():
+    assert text("<div>" * 3000 + "<p hidden>no" + "<span>" * 3000 + "no</p>" + "yes") == "yes"
+
+
+def test_layout_adds_a_bounded_amount():
+    page = "<table>" + "<tr><td rowspan=1000>x" * 2000
+    assert len(text(page)) < 600 * 2000 and text(page).count("x") == 2000
+    wide = "<table>" + ("<tr>" + "<td colspan=1000>x" * 200) * 200
+    assert text(wide).count("x") == 200 * 200
+    nested = "<table><tr><td>a<td>" * (ALIGNED + 4) + "z"
+    assert text(nested).split() == ["a"] * (ALIGNED + 4) + ["z"]
+
+
+# -- a second renderer, recursive, for small trees of elements that need no repair ----------------------------------------------
+
+BLOCKS, MARGINS = {"div", "p", "ul", "ol", "blockquote"}, {"p", "ul", "ol", "blockquote"}
+
+
+def small_tree(r: random.Random, depth: int, inside: str = "div"):
+    """(name, hidden, children or text)"""
+    if depth == 0 or (inside not in ("ul", "ol") and r.random() < 0.4):
+        return r.choice(["x", " y ", "zz top", "  ", "w\n"])
+    allowed = ["li"] if inside in ("ul", "ol") else ["b", "span"] if inside in ("p", "b", "span") else ["div", "p", "b", "span", "ul", "ol", "blockquote"]
+    name = r.choice(allowed)
+    return (name, r.random() < 0.1, [small_tree(r, depth - 1, name) for _ in range(r.randint(1, 3)) if name not in ("ul", "ol") or depth > 1])
+
+
+def written(node) -> str:
+    return node if isinstance(node, str) else f"<{node[0]}{' hidden' if node[1] else ''}>{''.join(map(written, node[2]))}</{node[0]}>"
+
+
+def flow(node, indent: int, lists: int) -> list:
+    """Events: text, ("break", blank lines), ("indent", n), ("mark", marker)."""
+    if isinstance(node, str):
+        return [node]
+    name, hidden, children = node
+    if hidden:
+        return []
+    if name in ("ul", "ol"):
+        blank = 0 if indent else 1
+        made, number = [("break", blank)], 1
+        for child in children:
+            if isinstance(child, str):
+                made += [("indent", indent), child]
+            elif not child[1]:
+                mark = f"{number}. " if name == "ol" else "- "
+                number += 1
+                made += [("break", 0), ("indent", indent + len(mark)), ("mark", mark)]
+                for grandchild in child[2]:
+                    made += flow(grandchild, indent + len(mark), lists + 1)
+                    made += [("indent", indent + len(mark))]
+                made += [("break", 0), ("mark", "")]
+        return [*made, ("break", blank), ("indent", indent)]
+    deeper = indent + 2 * (name == "blockquote")
+    inside = [e for c in children for e in [*flow(c, deeper, lists), ("indent", deeper)]]
+    if name not in BLOCKS:
+        return inside
+    blank = int(name in MARGINS)
+    return [("break", blank), ("indent", deeper), *inside, ("break", blank), ("indent", indent)]
+
+
+def by_events(events: list) -> str:
+    lines, now, gap, indent, mark = [], "", 0, 0, ""
+    for event in events:
+        if isinstance(event, str):
+            now += event
+            continue
+        kind, value = event
+        if kind == "break" or (kind == "indent" and value != indent):
+            if words := " ".join(now.split()):
+                lines += [""] * (max(0, gap - 1) if lines else 0) + [" " * (indent - len(mark)) + mark + words]
+                gap, mark = 0, ""
+                now = ""
+        if kind == "break":
+            now, gap = "", max(gap, value + 1)
+        elif kind == "indent":
+            indent = value
+        else:
+            mark = value
+    return "\n".join(lines)
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_against_a_second_renderer(seed):
+    r = random.Random(seed)
+    tree = ("div", False, [small_tree(r, 4) for _ in range(3)])
+    want = by_events([*flow(tree, 0, 0), ("break", 0)])
+    assert re.sub(r"[ ]+$", "", text(written(tree)), flags=re.M) == want, written(tree)
+
+
 def test_all_visible_text_is_kept():
     words = [f"w{i}" for i in range(200)]
     page = "".join(f"<{t}>{w}" for w, t in zip(words, ["p", "li", "td", "div", "b", "span", "h2", "tr", "dd", "a"] * 20, strict=True))

@@ -4,6 +4,10 @@ A tolerant tokeniser feeds a tree builder that supplies what authors leave out (
 paragraphs, list items, table rows and cells, options and definitions). The tree is then rendered as text the way a page
 shows it: hidden elements are left out, blocks stand on lines of their own with blank lines where margins would be, lists
 get their markers and indents, preformatted text keeps its white space, and table cells are padded into aligned columns.
+
+No depth or length of markup loses text, and what layout adds is bounded: tables inside more than ``ALIGNED`` others are shown
+as blocks, columns are not aligned beyond ``MOST_WIDTH`` characters or after ``MOST_COLUMNS``, and indents end at
+``MOST_INDENT``.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +35,16 @@ FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".
 TABLE_PARTS = frozenset("td th tr tbody thead tfoot caption colgroup".split())
 SCOPE = frozenset("applet caption html table td th marquee object template".split())
 
-TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)|</>", re.S)
+ALIGNED = 16
+MOST_WIDTH = 512
+MOST_COLUMNS = 1000
+MOST_INDENT = 128
+
+# A quote opens a value only after an equals sign, and only if it is closed; else the tag ends with the next ">".
+TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>=]+|=)*)(?:>|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)|</>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)")
+UNDISPLAYED = re.compile(r"display\s*:\s*none")
+VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)")
 SPACES = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -50,13 +62,34 @@ class Node:
 
 
 class TreeBuilder:
-    """Builds the tree of one page. ``stack`` holds the open elements, ``html`` first."""
+    """Builds the tree of one page. ``stack`` holds the open elements, ``html`` first.
+
+    ``names`` has their names, empty for an element that was closed while others in it stay open; ``places`` has the places of
+    each name in the stack, so that no step walks over the open elements.
+    """
 
     def __init__(self) -> None:
         self.root = Node("html")
-        self.stack = [self.root]
+        self.stack, self.names, self.places = [self.root], ["html"], {"html": [0]}
         self.body: Node | None = None
 
+    def _innermost(self, names) -> int:
+        """The place of the innermost open element of ``names``, 0 if there is none above ``html``."""
+        return max((at[-1] for name in names if (at := self.places.get(name))), default=0)
+
+    def _open(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.stack))
+        self.stack.append(node)
+        self.names.append(node.name)
+
+    def _cut(self, k: int) -> None:
+        """Closes the elements from place ``k`` on, and those below that are closed already."""
+        k = max(k, 1)
+        while len(self.stack) > k or (len(self.stack) > 1 and not self.names[-1]):
+            self.stack.pop()
+            if name := self.names.pop():
+                self.places[name].pop()
+
     def parse(self, page: str) -> Node:
         at = 0
         while at < len(page):
@@ -84,8 +117,8 @@ class TreeBuilder:
         inside = page[at:end]
         if inside:
             self.stack[-1].children.append(html.unescape(inside) if name in ("title", "textarea") else inside)
-        if self.stack[-1].name == name and len(self.stack) > 1:
-            self.stack.pop()
+        if self.stack[-1].name == name:
+            self._cut(len(self.stack) - 1)
         return close.end() if close else len(page)
 
     def text(self, text: str, raw: bool = False) -> None:
@@ -102,19 +135,16 @@ class TreeBuilder:
     def _body(self) -> None:
         """What follows the head goes into a body, whether or not a tag says so."""
         if self.body is None:
-            del self.stack[1:]
+            self._cut(1)
             self.body = Node("body")
             self.root.children.append(self.body)
-            self.stack.append(self.body)
+            self._open(self.body)
 
     def _close_upto(self, names: frozenset[str] | set[str], within: frozenset[str] | set[str]) -> None:
         """Closes the innermost open element of ``names`` and what is open in it, unless one of ``within`` stands between."""
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].name in names:
-                del self.stack[k:]
-                return
-            if self.stack[k].name in within:
-                return
+        k = self._innermost(names)
+        if k and k >= self._innermost(within):
+            self._cut(k)
 
     def start(self, name: str, attributes: str) -> None:
         if name == "html":
@@ -155,27 +185,26 @@ class TreeBuilder:
         elif name == "a":
             self._close_upto({"a"}, SCOPE)
         elif re.fullmatch("h[1-6]", name) and re.fullmatch("h[1-6]", self.stack[-1].name):
-            self.stack.pop()
+            self._cut(len(self.stack) - 1)
         self._push(name, attributes)
 
     def _within_table(self, name: str) -> None:
         """Opens the row, or the row's section, that a cell or row needs but the page does not write."""
-        open_at = next((k for k in range(len(self.stack) - 1, 0, -1) if self.stack[k].name == "table"), None)
-        if open_at is None:
+        table = self._innermost({"table"})
+        if not table:
             return
-        inside = {n.name for n in self.stack[open_at + 1 :]}
-        if name == "tr" and "tr" not in inside:
+        if name == "tr" and self._innermost({"tr"}) < table:
             self._within_table("tbody")
             self._push("tr", "")
-        elif name == "tbody" and not inside & {"tbody", "thead", "tfoot"}:
+        elif name == "tbody" and self._innermost({"tbody", "thead", "tfoot"}) < table:
             self._close_upto({"caption", "colgroup"}, {"table"})
             self._push("tbody", "")
 
     def _push(self, name: str, attributes: str) -> None:
         node = Node(name, attributes)
         self.stack[-1].children.append(node)
-        if name not in VOID and len(self.stack) < 2000:  # deeper elements become siblings: nothing is lost
-            self.stack.append(node)
+        if name not in VOID:
+            self._open(node)
 
     def end(self, name: str) -> None:
         if name in ("html", "body"):
@@ -186,16 +215,15 @@ class TreeBuilder:
         if name == "br":
             self.start("br", "")
             return
-        if name == "p" and not any(n.name == "p" for n in self.stack):
+        if name == "p" and not self._innermost({"p"}):
             self.start("p", "")
         if name in FORMATTING:
             # A formatting element that is closed late does not take the blocks in it along.
-            for k in range(len(self.stack) - 1, 1, -1):
-                if self.stack[k].name == name:
-                    del self.stack[k]
-                    return
-                if self.stack[k].name in SCOPE:
-                    return
+            k = self._innermost({name})
+            if k > 1 and k >= self._innermost(SCOPE):
+                self.places[name].pop()
+                self.names[k] = ""
+                self._cut(len(self.stack))
             return
         names = {"h1", "h2", "h3", "h4", "h5", "h6"} if re.fullmatch("h[1-6]", name) else {name}
         if name == "table":
@@ -204,7 +232,7 @@ class TreeBuilder:
             self._close_upto(names, {"table"} if name in TABLE_PARTS else {"table", "td", "th", "caption"})
 
 
-def visible(node: Node) -> bool:
+def displayed(node: Node) -> bool:
     if node.name in UNSEEN:
         return False
     if not node.attributes or node.attributes.isspace():
@@ -212,15 +240,27 @@ def visible(node: Node) -> bool:
     if node.name == "input" or "hidden" in node.attributes.lower():
         if node.attribute("hidden") is not None or node.name == "input":
             return False
-    if "style" in node.attributes.lower() and INVISIBLE.search((node.attribute("style") or "").lower()):
+    if "style" in node.attributes.lower() and UNDISPLAYED.search((node.attribute("style") or "").lower()):
         return False
     return not (node.name == "dialog" and node.attribute("open") is None)
 
 
+def shown_in(node: Node, shown: bool) -> bool:
+    """Whether text of the node itself shows, by its own visibility or else that of what it stands in."""
+    if "style" not in node.attributes.lower():
+        return shown
+    own = VISIBILITY.findall((node.attribute("style") or "").lower())
+    return own[-1] == "visible" if own else shown
+
+
 class Page:
-    """Lines of text under construction: the current line, and how many blank lines the next one needs before it."""
+    """Lines of text under construction: the current line, and how many blank lines the next one needs before it.
 
-    def __init__(self) -> None:
+    ``tables`` is how many tables the page stands in, ``shown`` whether text shows where the walk is now.
+    """
+
+    def __init__(self, tables: int = 0, shown: bool = True) -> None:
+        self.tables, self.shown = tables, shown
         self.lines: list[str] = []
         self.now: list[str] = []
         self.gap = 0
@@ -229,7 +269,7 @@ class Page:
         self.space = False
 
     def words(self, text: str) -> None:
-        if not text:
+        if not text or not self.shown:
             return
         parts = SPACES.split(text)
         if parts[0] == "" and self.now:
@@ -284,7 +324,11 @@ def render(node: Node, page: Page | None = None) -> Page:
             at()
         elif isinstance(at, str):
             page.words(at)
-        elif visible(at):
+        elif displayed(at):
+            shown = shown_in(at, page.shown)
+            if shown != page.shown:
+                todo.append(lambda was=page.shown: setattr(page, "shown", was))
+                page.shown = shown
             _element(at, page, todo)
     return page
 
@@ -299,7 +343,8 @@ def _element(node: Node, page: Page, todo: list) -> None:
         return
     if name == "hr":
         page.ask(0)
-        page.line("---")
+        if page.shown:
+            page.line("---")
         page.ask(0)
         return
     if name == "img":
@@ -307,13 +352,13 @@ def _element(node: Node, page: Page, todo: list) -> None:
         return
     if name in ("pre", "xmp"):
         page.ask(1)
-        for line in _plain(node).removeprefix("\n").split("\n"):
+        for line in _plain(node, page.shown).removeprefix("\n").split("\n"):
             page.line(line)
         page.ask(1)
         return
-    if name == "table":
+    if name == "table" and page.tables < ALIGNED:
         page.ask(1)
-        for line in table_lines(node):
+        for line in table_lines(node, page.tables, page.shown):
             page.line(line)
         page.ask(1)
         return
@@ -329,15 +374,17 @@ def _element(node: Node, page: Page, todo: list) -> None:
         number = int(start) if name == "ol" and re.fullmatch(r"-?\d{1,9}", start := node.attribute("start") or "1") else 1
         steps: list = []
         for child in node.children:
-            if isinstance(child, Node) and child.name == "li" and visible(child):
-                steps += [_item(page, before, f"{number}. " if name == "ol" else "- "), *child.children, lambda: page.ask(0)]
+            if isinstance(child, Node) and child.name == "li" and displayed(child):
+                inner = Node("span", child.attributes)
+                inner.children = child.children
+                steps += [_item(page, before, f"{number}. " if name == "ol" else "- "), inner, lambda: (page.ask(0), setattr(page, "marker", ""))]  # an item without text leaves no marker
                 number += 1
             else:
                 steps.append(child)
         todo += reversed(steps)
         return
     if name in ("dd", "blockquote"):
-        page.indent += "  "
+        page.indent = (page.indent + "  ")[:MOST_INDENT]
     todo.append(lambda: (page.ask(blank), setattr(page, "indent", before)))
     todo += reversed(node.children)
 
@@ -345,80 +392,85 @@ def _element(node: Node, page: Page, todo: list) -> None:
 def _item(page: Page, indent: str, marker: str):
     def begin() -> None:
         page.ask(0)
-        page.indent, page.marker = indent + " " * len(marker), marker
+        page.indent, page.marker = (indent + " " * len(marker))[:MOST_INDENT], marker
 
     return begin
 
 
-def _plain(node: Node) -> str:
+def _plain(node: Node, shown: bool) -> str:
     """Text with its white space as written."""
-    out, todo = [], [node]
+    out, todo = [], [(node, shown)]
     while todo:
-        at = todo.pop()
+        at, shown = todo.pop()
         if isinstance(at, str):
-            out.append(at)
+            out.append(at if shown else "")
         elif at.name == "br":
             out.append("\n")
-        elif visible(at):
-            todo += reversed(at.children)
+        elif displayed(at):
+            inside = shown_in(at, shown)
+            todo += [(child, inside) for child in reversed(at.children)]
     return "".join(out)
 
 
-def _rows(table: Node) -> tuple[list[Node], list[list[Node]]]:
-    """Captions and other loose content; the cells of each row. Head rows come first and foot rows last, as they are shown."""
+def _rows(table: Node, shown: bool) -> tuple[list[tuple], list[list[tuple]]]:
+    """Captions and other loose content; the cells of each row; each with whether it shows. Head rows come first and foot rows
+    last, as they are shown."""
     loose, parts = [], {"thead": [], "tbody": [], "tfoot": []}
     for child in table.children:
-        if isinstance(child, Node) and visible(child):
+        if isinstance(child, Node) and displayed(child):
             if child.name in parts:
+                inside = shown_in(child, shown)
                 for row in child.children:
-                    if isinstance(row, Node) and row.name == "tr":
-                        if visible(row):
-                            parts[child.name].append(row)
-                    else:
-                        loose.append(row)
+                    if not (isinstance(row, Node) and row.name == "tr"):
+                        loose.append((row, inside))
+                    elif displayed(row):
+                        parts[child.name].append((row, shown_in(row, inside)))
             elif child.name == "tr":
-                parts["tbody"].append(child)
+                parts["tbody"].append((child, shown_in(child, shown)))
             else:
-                loose.append(child)
-        elif isinstance(child, str) and child.strip():
-            loose.append(child)
+                loose.append((child, shown))
+        elif isinstance(child, str):
+            loose.append((child, shown))
     rows = []
-    for row in (*parts["thead"], *parts["tbody"], *parts["tfoot"]):
-        rows.append([c for c in row.children if isinstance(c, Node) and c.name in ("td", "th") and visible(c)])
-        loose += [c for c in row.children if not (isinstance(c, Node) and c.name in ("td", "th")) and (not isinstance(c, str) or c.strip())]
+    for row, inside in (*parts["thead"], *parts["tbody"], *parts["tfoot"]):
+        rows.append([(c, shown_in(c, inside)) for c in row.children if isinstance(c, Node) and c.name in ("td", "th") and displayed(c)])
+        loose += [(c, inside) for c in row.children if not (isinstance(c, Node) and c.name in ("td", "th"))]
     return loose, rows
 
 
-def _span(cell: Node, name: str) -> int:
+def _span(cell: Node, name: str, most: int) -> int:
     value = cell.attribute(name) or "1"
-    return max(1, min(1000, int(value))) if re.fullmatch(r"\d{1,6}", value) else 1
+    return max(1, min(most, int(value))) if re.fullmatch(r"\d{1,6}", value) else 1
 
 
-def table_lines(table: Node, depth: int = 0) -> list[str]:
-    """The table's lines: cells in columns as wide as their widest line, two spaces apart; spans take up their columns."""
-    loose, rows = _rows(table)
+def table_lines(table: Node, depth: int = 0, shown: bool = True) -> list[str]:
+    """The lines of a table that stands in ``depth`` others: cells in columns as wide as their widest line, two spaces apart;
+    spans take up their columns."""
+    loose, rows = _rows(table, shown)
     out: list[str] = []
-    for node in loose:
-        out += [x for x in (render(node).text() if isinstance(node, Node) else " ".join(node.split())).split("\n") if x]
+    for node, inside in loose:
+        out += [x for x in render(node, Page(depth + 1, inside)).text().split("\n") if x]
     grid: list[list[tuple[int, int, list[str]]]] = []
-    taken: dict[int, int] = {}  # column: rows that a cell above still covers
+    taken = np.zeros(MOST_COLUMNS + 1, dtype=np.int64)  # the row from which a column is free again; the last place always is
+    spanned = False
     widths: dict[int, int] = {}
-    for row in rows:
+    for number, row in enumerate(rows):
         cells, column = [], 0
-        for cell in row:
-            while taken.get(column, 0) > 0:
-                column += 1
-            across, down = _span(cell, "colspan"), _span(cell, "rowspan")
+        for cell, inside in row:
+            if spanned and taken[column] > number:
+                column += int(np.argmax(taken[column:] <= number))
+            across, down = _span(cell, "colspan", MOST_COLUMNS), _span(cell, "rowspan", 65534)
             inner = Node("div")
             inner.children = cell.children
-            lines = render(inner).text().split("\n")
-            cells.append((column, across, lines))
+            lines = render(inner, Page(depth + 1, inside)).text().split("\n")
+            end = min(column + across, MOST_COLUMNS)
+            cells.append((column, end - column, lines))
             if across == 1:
                 widths[column] = max(widths.get(column, 0), *map(len, lines))
-            for k in range(column, column + across):
-                taken[k] = max(taken.get(k, 0), down)
-            column += across
-        taken = {k: n - 1 for k, n in taken.items() if n > 1}
+            if down > 1:
+                spanned = True
+                taken[column:end] = np.maximum(taken[column:end], number + down)
+            column = end
         grid.append(cells)
     places, at = {}, 0
     for column in range(max((c + n for row in grid for c, n, _ in row), default=0) + 1):
@@ -426,13 +478,16 @@ def table_lines(table: Node, depth: int = 0) -> list[str]:
         at += widths.get(column, 0) + 2 if column in widths else 0
     for cells in grid:
         for k in range(max((len(lines) for _, _, lines in cells), default=0)):
-            line = ""
+            line: list[str] = []
+            length = 0
             for column, _, lines in cells:
                 if k < len(lines) and lines[k]:
-                    line = line.ljust(places[column]) if len(line) <= places[column] else line + "  "
-                    line += lines[k]
-            if line.strip():
-                out.append(line)
+                    place = places[column]
+                    gap = place - length if length <= place <= MOST_WIDTH else 2 if length else 0
+                    line.append(" " * gap + lines[k])
+                    length += gap + len(lines[k])
+            if length:
+                out.append("".join(line))
     return out
 
 
@@ -454,8 +509,8 @@ def extract(page: str | None) -> tuple[str, str]:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, title, text, n_lines for every page.
 
-    Null and empty pages give empty strings and no lines. Markup that is never closed ends with the page; each row is
-    rendered on its own; an empty table gives no rows; extra columns are ignored.
+    Null and empty pages give empty strings and no lines. Markup that is never closed ends with the page, a quote in a tag that
+    is never closed with the tag; each row is rendered on its own; an empty table gives no rows; extra columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
