@@ -1,7 +1,9 @@
 """Licence scans by sentence-rule recognition, with DataFrame functions only.
 
 A text that has a licensing word is cut into sentences (comment marks off, wrapped lines joined), which are normalised to
-lower-case words. A sentence that a pattern recognises becomes a sentence identifier; the identifiers, in the order of the
+lower-case words. A line is wrapped if the next one goes on in lower case or in brackets or quotes, if it ends with a comma or
+with a word that needs another after it, or if both are in capitals; a semicolon ends a sentence unless the known notices go
+on after it. A sentence that a pattern recognises becomes a sentence identifier; the identifiers, in the order of the
 text, are matched against ordered licence rules, each a sequence of identifiers. A rule that matches takes its sentences out
 of the sequence, so that a licence's full text is not also reported as its parts. Sentences with a licensing word that no
 pattern knows are counted as unknown. There is no join and no exchange: a row needs nothing but itself.
@@ -9,11 +11,13 @@ pattern knows are counted as unknown. There is no join and no exchange: a row ne
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Words of which a licensing sentence has at least one.
-CUES = ["licens", "licenc", "copyright", "warrant", "redistribut", "permission", "spdx", "public domain", "liable", "rights reserved", "free software"]
+CUES = ["licens", "licenc", "copyright", "warrant", "redistribut", "permission", "spdx", "public domain", "liable", "rights reserved", "free software", "creative commons", "cc0", "cc by", "cc-by"]
 
 # Sentence identifier, pattern of the whole normalised sentence.
 _UNDER = "(?:this (?:work|file|software|program|project|code|document|library|content|text|material) is |it is )?(?:licensed|released|distributed|available|published|made available) under (?:the )?(?:terms of )?(?:the )?"
@@ -63,7 +67,7 @@ SENTENCES = [
     ("UnderLgpl21", _UNDER + "gnu (?:lesser|library) general public licen[sc]e (?:v|version )2.1(?: only)?"),
     ("UnderLgpl3", _UNDER + "gnu lesser general public licen[sc]e (?:v|version )3(?:.0)?(?: only)?"),
     ("UnderAgpl3", _UNDER + "gnu affero general public licen[sc]e (?:v|version )3(?:.0)?(?: only)?"),
-    ("UnderCc0", _UNDER + "(?:creative commons |cc )(?:cc ?)?(?:0|zero)(?: 1.0)?(?: universal)?(?: licen[sc]e)?"),
+    ("UnderCc0", _UNDER + "(?:creative commons (?:cc ?)?|cc ?)(?:0|zero)(?: 1.0)?(?: universal)?(?: licen[sc]e)?"),
     ("Unlicense", "this is free and unencumbered software released into the public domain"),
     ("PublicDomain", "this (?:work|file|software|program|code) is in the public domain"),
 ]
@@ -99,7 +103,16 @@ RULES = [
 ]
 RULES += [(f"CC-{kind}-{version}", [f"UnderCc{kind.replace('-', '')}{version.replace('.', '')}"]) for kind in _CC for version in ("1.0", "2.0", "2.5", "3.0", "4.0")]
 
-_MARKS, _WRAP, _END = "\\n[ \\t]*(?:#+|//+|\\*+|--+|;+)[ \\t]*", "[ \\t\\r]*\\n[ \\t\\r]*([a-z])", "([.!?;])[ \\t\\n\\r\\f\\x0B]+"
+_GAP = "[ \\t\\r]*\\n[ \\t\\r]*"
+#: (pattern, replacement with $1 and $2), one after the other: comment marks; the ways a line may be wrapped; sentence ends.
+STEPS = [
+    ("\\n[ \\t]*(?:/\\*+|#+|//+|\\*+|--+|;+)[ \\t]*", "\n"),
+    (_GAP + "([a-z]|[(](?:at|the|and|or|including|if)[^a-z]|[\"\u201c][A-Za-z])", " $1"),
+    ("(,|[ (](?:the|of|and|or|under|in|a|by|to|for|with|version|Version|GNU|Apache|MIT|BSD|ISC|Mozilla|Creative|Commons|CC|General|Public|Lesser|Library|Affero|Free|Software))" + _GAP + "([A-Z0-9])", "$1 $2"),
+    ("([A-Z][A-Z][,;]?)" + _GAP + "([A-Z][A-Z])", "$1 $2"),
+    (";[ \\t\\r\\n]+(you can|either|without)", " $1"),
+    ("([.!?;])[ \\t\\n\\r\\f\\x0B]+", "$1\n"),
+]
 
 
 def _case(value: str, matches) -> str:
@@ -114,7 +127,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.concat(F.lit("\n"), "text"), _MARKS, "\n"), _WRAP, " $1"), _END, "$1\n")
+    plain = F.concat(F.lit("\n"), "text")
+    for pattern, to in STEPS:
+        plain = F.regexp_replace(plain, pattern, to)
     cut = F.when(_any(F.lower("text")), F.split(plain, "\n")).otherwise(F.array().cast("array<string>"))
     said = F.filter(cut, lambda x: _any(F.lower(x)))
     words = F.transform(said, lambda x: F.regexp_replace(F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9.+]+", " ")), "[. ]+$", ""))
@@ -144,14 +159,17 @@ def _any(column):
 def oracle_sql() -> str:
     """The same rules as DuckDB SQL."""
     cue = lambda v: "(" + " OR ".join(f"contains({v}, '{c}')" for c in CUES) + ")"
-    marks, wrap, end = (x.replace("'", "''") for x in (_MARKS, _WRAP, _END))
+    plain = "chr(10) || text"
+    for pattern, to in STEPS:
+        made = " || ".join("chr(10)" if x == "\n" else f"'{x}'" for x in re.split("(\n)", to.replace("$", "\\")) if x)
+        plain = f"regexp_replace({plain}, '{pattern}', {made}, 'g')"
     steps = ["s0 AS (SELECT doc_id, sentence_ids, n_unknown, ',' || replace(sentence_ids, ',', ',,') || ',' AS l, CAST([] AS VARCHAR[]) AS got FROM k)"]
     for i, (name, parts) in enumerate(RULES):
         run = "," + ",,".join(parts) + ","
         steps.append(f"s{i + 1} AS (SELECT doc_id, sentence_ids, n_unknown, replace(l, '{run}', ',;,') AS l, CASE WHEN contains(l, '{run}') AND NOT list_contains(got, '{name}') THEN list_append(got, '{name}') ELSE got END AS got FROM s{i})")
     return f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-c AS (SELECT doc_id, CASE WHEN {cue("lower(text)")} THEN string_split(regexp_replace(regexp_replace(regexp_replace(chr(10) || text, '{marks}', chr(10), 'g'), '{wrap}', ' \\1', 'g'), '{end}', '\\1' || chr(10), 'g'), chr(10)) ELSE [] END AS cut FROM t),
+c AS (SELECT doc_id, CASE WHEN {cue("lower(text)")} THEN string_split({plain}, chr(10)) ELSE [] END AS cut FROM t),
 w AS (SELECT doc_id, list_transform(list_filter(cut, lambda x: {cue("lower(x)")}), lambda x: regexp_replace(trim(regexp_replace(lower(x), '[^a-z0-9.+]+', ' ', 'g')), '[. ]+$', '')) AS words FROM c),
 i AS (SELECT doc_id, list_transform(words, lambda w: coalesce({_case("w", lambda v, p: f"regexp_matches({v}, '{p}')")}, '')) AS ids FROM w),
 k AS (SELECT doc_id, coalesce(array_to_string(list_filter(ids, lambda x: x <> ''), ','), '') AS sentence_ids, len(list_filter(ids, lambda x: x = '')) AS n_unknown FROM i),
