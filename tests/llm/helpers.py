@@ -18,6 +18,16 @@ def edge_rows() -> list[tuple]:
     return [*rows, rows[0], rows[5]]  # repeated rows
 
 
+def odd_ids() -> list[tuple]:
+    """(doc_id, text): null doc_ids, and doc_ids that repeat with different texts."""
+    a, b, c = prose(11, 60), prose(12, 60), prose(13, 60)
+    return [(3, a), (5, a), (5, b), (None, b), (None, c), (None, c), (None, None), (3, b + "  "), (7, c.replace(" ", "  "))]
+
+
+def odd_docs(spark):
+    return spark.createDataFrame(odd_ids(), "doc_id long, text string")
+
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long, node long, units int"
 
 

@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from tests.llm.helpers import edge_docs, edge_rows, no_docs
+from tests.llm.helpers import edge_docs, edge_rows, no_docs, odd_docs, odd_ids
 from wayfold.llm.exact_dedup import BinaryFuse, Snapshot, deduplicate, digests, same_bytes
 
 
@@ -32,6 +32,18 @@ def test_any_split_into_snapshot_and_batch_gives_the_same(spark):
         assert sorted(map(tuple, deduplicate(docs, split).collect())) == want
 
 
+def test_null_and_repeated_ids(spark):
+    for split in (None, F.lit(False), F.coalesce(F.col("doc_id") < 4, F.lit(False)), F.length("text") % 2 == 0):
+        rows = deduplicate(odd_docs(spark), split).collect()
+        assert len(rows) == len(odd_ids())
+        groups = {}
+        for i, t in odd_ids():
+            groups.setdefault(hashlib.sha256(plain(t).encode()).hexdigest(), []).append((-len(t or ""), i is None, i or 0))
+        for r in rows:
+            _, null, keep = min(groups[r.text_sha256])
+            assert r.group_size == len(groups[r.text_sha256]) and r.keep_id == (None if null else keep)
+
+
 def test_filters_have_no_false_negatives_and_few_false_positives():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 3, 10, 1000, 60_000):

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 
 from tests.llm.helpers import edge_docs, edge_rows, no_docs
-from wayfold.llm.language_id import PpmModel, identify, learn
+from wayfold.llm.language_id import PpmModel, codes_of, context_counts, identify, learn
 
 LANGUAGES = {"aa": "abcab", "bb": "bdebd", "cc": "xyzéx"}
 
@@ -28,7 +28,15 @@ def model(order=2, least=2):
     seen = sorted({g[0] for c in grams.values() for g in c if len(g) == 1})
     symbols = np.zeros(256, dtype=np.int64)
     symbols[seen] = np.arange(1, len(seen) + 1)
-    return grams, PpmModel({k: learn(c, symbols, order, least) for k, c in grams.items()}, symbols, order)
+    return grams, PpmModel({k: learn(contexts(c, least), symbols) for k, c in grams.items()}, symbols, order)
+
+
+def contexts(grams, least):
+    """{context: (bytes that follow, counts)} of those seen ``least`` times."""
+    follow = {}
+    for g, n in grams.items():
+        follow.setdefault(g[:-1], {})[g[-1]] = n
+    return {c: (np.array(sorted(f)), np.array([f[b] for b in sorted(f)], dtype=float)) for c, f in follow.items() if not c or sum(f.values()) >= least}
 
 
 def slow_bits(grams, data, order, least):
@@ -54,6 +62,20 @@ def slow_bits(grams, data, order, least):
     return bits
 
 
+def test_contexts_are_counted_like_strings(spark):
+    texts = [("aa", text("aa", 1)), ("cc", text("cc", 2)), ("cc", "é"), ("cc", ""), ("bb", None), ("aa", "x" * 1_100_000 + "yz" * 520_000)]
+    got = {(r.lang, (r.context & ((1 << 56) - 1)).to_bytes(7, "big")[7 - (r.context >> 56) :]): dict(zip(r.symbols, r.counts, strict=True)) for r in context_counts(spark.createDataFrame(texts, "lang string, text string"), 3, 5).collect()}
+    want = {}
+    for lang, t in texts:
+        data = (t or "").encode()
+        c = Counter(data[i : i + n] for n in range(1, 5) for i in range(len(data) - n + 1))
+        for g, n in c.items():
+            follow = want.setdefault((lang, g[:-1]), Counter())
+            follow[g[-1]] += n
+    assert got == {k: dict(f) for k, f in want.items() if not k[1] or sum(f.values()) >= 5}
+    assert len(codes_of(b"", 3)) == 0 and len(codes_of(b"ab", 3)) == 3
+
+
 def test_code_lengths_are_exact_whatever_the_segments():
     grams, m = model()
     texts = [text("aa", 9, 40).encode(), text("cc", 8, 25).encode(), b"", b"q?", "bdé".encode()]

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tests.llm.helpers import edge_docs, edge_rows, no_docs
+from tests.llm.helpers import edge_docs, edge_rows, no_docs, odd_docs, odd_ids
 from wayfold.llm.packing import CuttingStock, pack, plan_rows
 
 
@@ -12,21 +12,18 @@ def ids_of(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], dtype="<u4")
 
 
-def test_every_id_is_in_one_piece_and_sequences_have_no_gaps(spark):
-    rows = pack(edge_docs(spark)).collect()
-    texts = [r[1] for r in edge_rows()]
-    assert sum(r.length for r in rows) == sum(len(ids_of(t)) for t in texts)
-    by_id = {}
-    for r in edge_rows():
-        by_id.setdefault(r[0], ids_of(r[1]))
-    for r in rows:
-        ids = by_id[r.doc_id]
-        assert r.doc_tokens == len(ids)
-        assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+def check_packed(rows, texts):
+    """The pieces are those of the texts (doc_id, text), each as often as its row, and sequences are gapless."""
+    want = []
+    for doc_id, text in texts:
+        ids, start = ids_of(text), 0
+        mine = sorted({r.start: r.length for r in rows if r.doc_id == doc_id and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())}.items())
+        assert [s for s, _ in mine] == [0, *np.cumsum([n for _, n in mine])[:-1]] and sum(n for _, n in mine) == len(ids)
+        want += [(doc_id, s, n, len(ids), zlib.crc32(ids[s : s + n].tobytes())) for s, n in mine]
+    assert sorted(want, key=str) == sorted(((r.doc_id, r.start, r.length, r.doc_tokens, r.ids_crc32) for r in rows), key=str)
     at = {}
     for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
         assert r.offset == at.get(r.sequence_id, 0)
@@ -34,6 +31,11 @@ def test_every_id_is_in_one_piece_and_sequences_have_no_gaps(spark):
     assert max(at.values()) <= 2048
 
 
+def test_every_id_is_in_one_piece_and_sequences_have_no_gaps(spark):
+    check_packed(pack(edge_docs(spark)).collect(), [(r[0], r[1]) for r in edge_rows()])
+    check_packed(pack(odd_docs(spark)).collect(), odd_ids())
+
+
 def test_an_empty_table_has_no_pieces(spark):
     assert pack(no_docs(spark)).count() == 0
 

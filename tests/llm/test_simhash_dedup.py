@@ -3,7 +3,7 @@ import re
 import numpy as np
 import xxhash
 
-from tests.llm.helpers import edge_docs, edge_rows, no_docs
+from tests.llm.helpers import edge_docs, edge_rows, no_docs, odd_docs, odd_ids
 from wayfold.llm.components import components
 from wayfold.llm.simhash_dedup import block_masks, blocks_for, links, near_duplicates
 
@@ -51,6 +51,26 @@ def test_links_connect_all_close_pairs_even_in_large_buckets(spark):
         assert {n: found.get(n, n) for n in range(len(fps))} == want
 
 
+def test_null_and_repeated_ids(spark):
+    rows = near_duplicates(odd_docs(spark)).collect()
+    least = {}
+    for i, t in odd_ids():
+        least[fingerprint(t)] = min((x for x in (i, least.get(fingerprint(t))) if x is not None), default=None)
+    assert sorted(((r.doc_id, int(r.fingerprint, 16), r.component_id) for r in rows), key=str) == sorted(((i, fingerprint(t), least[fingerprint(t)]) for i, t in odd_ids()), key=str)
+
+
+def test_hot_keys_join_like_any_other(spark, monkeypatch):
+    from wayfold.llm import hot
+
+    monkeypatch.setattr(hot, "FEW", 2)
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 50), (2, 3), (3, 1), (None, 4)) for i in range(n)], "k long, i int")
+    table = spark.createDataFrame([(1, 50, "x"), (2, 3, "y"), (4, 9, "z")], "t long, n long, v string")
+    want = sorted([(1, "x")] * 50 + [(2, "y")] * 3)
+    assert sorted((r.k, r.v) for r in hot.join_counted(rows, table, [("k", "t")], "n").collect()) == want
+    left = hot.join_counted(rows, table, [("k", "t")], "n", "left").collect()
+    assert len(left) == 58 and sum(r.v is None for r in left) == 5
+
+
 def test_masks_cover_the_bits():
     for blocks in (5, 6, 8):
         for mask in block_masks(blocks, 4):

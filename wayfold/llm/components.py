@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.llm.hot import join_counted
 from wayfold.plans.scratch import materialise
 
 
@@ -62,16 +63,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edges (a long, b long): the smallest node that can be reached.
 
     Large-star and small-star steps in turn until nothing changes: each is a minimum for each node, joined back, so that no
-    neighbourhood is gathered in one place. Edges are written to the shared folder after each turn; only counts come to the
+    neighbourhood is gathered in one place; a hub's minimum is sent to its edges and not they to it. Edges are written to the shared folder after each turn; only counts come to the
     driver. An empty edge list has no components; loops and repeated edges change nothing.
     """
     now = materialise(contracted(edges.filter("a <> b")).filter("a <> b").distinct(), "edges")
-    before = None
+    before = least = None
     for _ in range(rounds):
         # Large-star: every neighbour greater than a node is linked to the least of the node and its neighbours.
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = materialise(both.groupBy(F.col("a").alias("hub")).agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")), "least", least)
+        large = join_counted(both.filter("b > a"), least, [("a", "hub")], "n").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small-star: a node and its lesser neighbours are linked to the least of those.
         lesser = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
         small = lesser.groupBy("a").agg(F.min("b").alias("m"))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.llm.hot import join_counted
 from wayfold.plans.scratch import bounded_batches, materialise
 
 WHITE = b" \t\n\x0b\x0c\r"
@@ -175,7 +176,9 @@ def same_bytes(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     wanted = pairs.select("digest", F.explode(F.array("left_id", "right_id")).alias("id")).distinct()
     texts = _maybe(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), wanted.select(F.col("id").alias("doc_id")))
     plain = F.translate(F.coalesce("text", F.lit("")), WHITE.decode(), "")
-    joined = texts.select("doc_id", plain.alias("plain")).join(wanted, F.col("doc_id") == F.col("id")).filter(F.unhex(F.sha2("plain", 256)) == F.col("digest"))
+    # Ids may be null, on many rows: the digest is part of the join.
+    own = texts.select("doc_id", plain.alias("plain")).withColumn("own", F.unhex(F.sha2("plain", 256)))
+    joined = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("digest")))
     return joined.groupBy("digest").agg(F.min("plain").alias("least"), F.max("plain").alias("most")).filter("least = most").select("digest")
 
 
@@ -198,7 +201,7 @@ def deduplicate(docs: DataFrame, in_snapshot=None) -> DataFrame:
     proven = pairs.join(same_bytes(docs, pairs), "digest")
     merged = materialise(proven.select(F.col("digest").alias("m"), (F.col("n") + F.col("old_n")).alias("all_n"), F.greatest("best", "old_best").alias("all_best")), "merged")
     sides = snapshot.groups.withColumn("side", F.lit(True)).union(fresh.withColumn("side", F.lit(False)))
-    final = sides.join(merged, F.col("digest") == F.col("m"), "left").select(F.col("digest").alias("g"), "side", F.coalesce("all_n", "n").alias("group_size"), F.coalesce("all_best", "best").alias("best"))
-    joined = rows.join(final, (F.col("digest") == F.col("g")) & (F.col("old") == F.col("side")))
+    final = materialise(sides.join(merged, F.col("digest") == F.col("m"), "left").select(F.col("digest").alias("g"), "side", "n", F.coalesce("all_n", "n").alias("group_size"), F.coalesce("all_best", "best").alias("best")), "final")
+    joined = join_counted(rows, final, [("digest", "g"), ("old", "side")], "n")
     keep = -F.col("best.minus_id")
     return joined.select("doc_id", keep.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

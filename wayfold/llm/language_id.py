@@ -14,7 +14,6 @@ only, a segment that starts that many bytes early is in the right state, and the
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,20 +35,16 @@ class ContextTree:
     step: np.ndarray
 
 
-def learn(grams: Counter, symbols: np.ndarray, order: int, least: int) -> ContextTree:
-    """A tree from counts of byte strings of length 1 to ``order`` + 1 (context and next byte).
+def learn(counted: dict[bytes, tuple[np.ndarray, np.ndarray]], symbols: np.ndarray) -> ContextTree:
+    """A tree from contexts: the bytes that follow each, and how often.
 
-    A context is kept if it was seen ``least`` times, so the tree is deeper where there is more to know. ``symbols`` maps a
-    byte to its column; bytes that no language has seen share column 0 and are 1/256 each at the root.
+    A context is kept if its own shorter contexts are there, so the tree is deeper where there is more to know. ``symbols``
+    maps a byte to its column; bytes that no language has seen share column 0 and are 1/256 each at the root.
     """
     width = int(symbols.max()) + 1
     seen: dict[bytes, np.ndarray] = {b"": np.zeros(width)}
-    totals: Counter = Counter()
-    for gram, n in grams.items():
-        totals[gram[:-1]] += n
-    for gram, n in grams.items():
-        if totals[gram[:-1]] >= least or len(gram) == 1:
-            seen.setdefault(gram[:-1], np.zeros(width))[symbols[gram[-1]]] += n
+    for context, (follow, n) in counted.items():
+        np.add.at(seen.setdefault(context, np.zeros(width)), symbols[follow], n)
     contexts = sorted((c for c in seen if all(c[i:] in seen for i in range(1, len(c) + 1))), key=lambda c: (len(c), c))
     number = {c: k for k, c in enumerate(contexts)}
     chance = np.zeros((len(contexts), width))
@@ -143,45 +138,88 @@ class PpmModel:
         return names, scores, rate
 
 
-def gram_counts(rows: DataFrame, order: int) -> DataFrame:
-    """(lang, gram, n): byte strings of length 1 to ``order`` + 1 in the texts of each language, counted in each task first."""
+def codes_of(data: bytes, order: int) -> np.ndarray:
+    """A 64-bit code for every byte string of length 1 to ``order`` + 1 in ``data``: its length in the top byte, its bytes below."""
+    b = np.frombuffer(data, dtype=np.uint8).astype(np.uint64)
+    made, code = [], np.zeros(len(b), dtype=np.uint64)
+    for n in range(1, order + 2):
+        if len(b) < n:
+            break
+        code = (code[: len(b) - n + 1] << np.uint64(8)) | b[n - 1 :]
+        made.append(code | np.uint64(n << 56))
+    return np.concatenate(made) if made else code
+
+
+def context_counts(rows: DataFrame, order: int, least: int) -> DataFrame:
+    """(lang, context, symbols, counts): for each context of up to ``order`` bytes that is empty or seen ``least`` times, the
+    bytes that follow it in the texts of each language, and how often. Counted in each task first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
+        waiting: dict[str, list[np.ndarray]] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, codes in waiting.items():
+                known, n = np.unique(np.concatenate(codes), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(known), pa.string()), pa.array(known.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "code", "n"])
+            waiting.clear()
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data, c = (text.as_py() or "").encode("utf-8", "replace"), counts.setdefault(lang, Counter())
-                for n in range(1, order + 2):
-                    c.update([data[i : i + n] for i in range(len(data) - n + 1)])
-        for lang, c in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["lang", "gram", "n"])
+                data = (text.as_py() or "").encode("utf-8", "replace")
+                for at in range(0, max(len(data), 1), 1 << 20):
+                    codes = codes_of(data[at : at + (1 << 20)], order) if not at else _fresh(data[at - order : at + (1 << 20)], order)
+                    waiting.setdefault(lang, []).append(codes)
+                    size += len(codes)
+                    if size > 4_000_000:
+                        yield from flush()
+                        size = 0
+        yield from flush()
+
+    bounded_batches(rows.sparkSession)
+    counted = rows.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    length = F.shiftrightunsigned("code", 56)
+    below = F.shiftrightunsigned(F.shiftleft("code", 8), 16)  # without the length and the last byte
+    context = below.bitwiseOR(F.shiftleft(length - 1, 56))
+    split = counted.select("lang", context.alias("context"), F.col("code").bitwiseAND(F.lit(255)).cast("int").alias("symbol"), "n")
+    met = split.groupBy("lang", "context").agg(F.sort_array(F.collect_list(F.struct("symbol", "n"))).alias("seen"), F.sum("n").alias("total"))
+    return met.filter((F.col("context") == 0) | (F.col("total") >= least)).select("lang", "context", F.col("seen.symbol").alias("symbols"), F.col("seen.n").alias("counts"))
+
+
+def _fresh(part: bytes, order: int) -> np.ndarray:
+    """The codes of the byte strings of length 1 to ``order`` + 1 that end after the first ``order`` bytes of ``part``."""
+    return np.concatenate([_ending(part, order, n) for n in range(1, order + 2)])
+
 
-    return rows.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(count, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+def _ending(part: bytes, order: int, n: int) -> np.ndarray:
+    codes = codes_of(part[order - n + 1 :], n - 1)
+    return codes[(codes >> np.uint64(56)) == n]
 
 
-def train(labelled: DataFrame, order: int = 3, least: int = 24, per_language: int = 1000, max_bytes: int = 40_000_000) -> PpmModel:
+def train(labelled: DataFrame, order: int = 3, least: int = 24, sample_bytes: int = 4_000_000, max_bytes: int = 640_000_000) -> PpmModel:
     """Learns from rows with a ``lang`` and a ``text``; others are ignored.
 
-    ``per_language`` bounds the sample: that many rows of each language are expected, chosen by a hash of their id, and whole
-    texts of them are read. ``max_bytes`` bounds the summed counts' size brought to the driver.
+    ``sample_bytes`` bounds the sample: of each language, rows with so many bytes together are expected, chosen by a hash of
+    their id and text, and whole texts of them are read; a language with less is read whole. So at most ``order`` + 1 times
+    ``sample_bytes`` / ``least`` contexts of a language come to the driver, where the trees are made; trees above ``max_bytes``
+    together are an error.
     """
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n")).collect()}
+    if not sizes:
         return PpmModel({}, np.zeros(256, dtype=np.int64), order)
-    part = F.pmod(F.xxhash64("doc_id", F.lit("ppm")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_language / n))) for k, n in sorted(counts.items())])
-    grams = gram_counts(rows.filter(part < share), order).collect()
-    by: dict[str, Counter] = {k: Counter() for k in counts}
-    for lang, gram, n in grams:
-        by[lang][bytes(gram)] = n
-    seen = sorted({g[0] for c in by.values() for g in c if len(g) == 1})
+    part = F.pmod(F.xxhash64("doc_id", "text", F.lit("ppm")), F.lit(1 << 30)) / float(1 << 30)
+    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, sample_bytes / max(n, 1)))) for k, n in sorted(sizes.items())])
+    by: dict[str, dict[bytes, tuple[np.ndarray, np.ndarray]]] = {k: {} for k in sizes}
+    for lang, context, symbols, counts in context_counts(rows.filter(part < share), order, least).toLocalIterator():
+        by[lang][(context & ((1 << 56) - 1)).to_bytes(7, "big")[7 - (context >> 56) :]] = (np.array(symbols), np.array(counts, dtype=np.float64))
+    seen = sorted({int(b) for c in by.values() if b"" in c for b in c[b""][0]})
     symbols = np.zeros(256, dtype=np.int64)
     symbols[seen] = np.arange(1, len(seen) + 1)
     if len(seen) > 255:
         symbols = np.arange(256)
-    trees = {k: learn(c, symbols, order, least) for k, c in by.items() if c}
-    if sum(t.cost.nbytes + t.step.nbytes for t in trees.values()) > 16 * max_bytes:
+    trees = {k: learn(c, symbols) for k, c in by.items() if c}
+    if sum(t.cost.nbytes + t.step.nbytes for t in trees.values()) > max_bytes:
         raise ValueError("the trees are too large to broadcast: lower order or raise least")
     return PpmModel(trees, symbols, order)
 

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from wayfold.plans.scratch import bounded_batches, materialise
 
+#: Pieces of one length that are ranked together in one task, about.
+SALTED = 200_000
 PIECES = "doc_id long, doc_tokens long, starts array<long>, lengths array<int>, crcs array<long>"
 
 
@@ -179,7 +181,8 @@ def _ids_of(vocabulary: str):
             with open(path, encoding="utf-8") as f:
                 added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
             coder = _encoder(ranks, public_tokenizers.PATTERN, added)
-            _loaded[vocabulary] = lambda text: coder.encode(text, allowed_special="all")
+            # Most texts hold no added token: they need no search for them.
+            _loaded[vocabulary] = lambda text: coder.encode(text, allowed_special="all") if any(t in text for t in added) else coder.encode_ordinary(text)
         else:
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
             from tokenizers import Tokenizer
@@ -220,8 +223,9 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int =
     null doc_ids are each packed on their own. An empty text is one end id; an empty table gives no rows. Extra columns of
     ``docs`` are ignored.
     """
-    salts = max(256, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pieces = materialise(tokenised_pieces(docs, vocabulary, capacity), "pieces")
+    n = pieces.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
+    salts = max(256, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(n) // SALTED))
     each = pieces.select("doc_id", "doc_tokens", F.explode(F.arrays_zip("starts", "lengths", "crcs")).alias("p")).select(
         "doc_id", "doc_tokens", F.col("p.starts").alias("start"), F.col("p.lengths").cast("long").alias("length"), F.col("p.crcs").alias("ids_crc32"),
         F.ceil(F.col("p.lengths") / granule).cast("int").alias("units"),

@@ -4,8 +4,10 @@ Fingerprints within ``radius`` bits agree in at least ``blocks - radius`` of ``b
 tables keyed by ``blocks - radius`` blocks. More blocks make longer keys and more tables; the number is taken from the count
 of different fingerprints, so that a key is expected to be shared by few of them.
 
-A bucket gives the edges of a spanning forest of its links and not all its pairs. Buckets above ``chunk`` fingerprints are
-split into chunks, and every pair of chunks is a task of its own, so that a bucket never has to fit in one.
+A bucket gives the edges of a spanning forest of its links and not all its pairs. In buckets above ``chunk`` fingerprints, those
+near the bucket's first are linked to it at once. The others are split into chunks, and every pair of chunks with one of the
+others at least is a task's run of its own: a bucket never has to fit in one, and what one fingerprint already joins is not
+paired among itself.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.components import components
+from wayfold.llm.hot import join_counted
 from wayfold.plans.scratch import bounded_batches, materialise
 
 SEED = 42
@@ -96,13 +99,28 @@ def links(nodes: DataFrame, radius: int = 4, blocks: int | None = None, chunk: i
     masks = [_signed(m) for m in block_masks(blocks or blocks_for(nodes.count(), radius), radius)]
     tables = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("k")
     keyed = nodes.select("node", "fp", tables).select("node", "fp", F.col("k.t").alias("t"), F.col("k.key").alias("key"))
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("t").alias("bt"), F.col("key").alias("bk"), "n")
-    shared = keyed.join(sizes, (F.col("t") == F.col("bt")) & (F.col("key") == F.col("bk"))).drop("bt", "bk")
-    # A small bucket is one task's run of rows; a large one is dealt into chunks, and each pair of chunks is such a run.
-    parts = F.ceil(F.col("n") / chunk).cast("int")
-    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("p"), F.greatest(x, F.col("own")).alias("q"))))
-    runs = shared.withColumn("parts", parts).withColumn("own", own).select("node", "fp", "t", "key", pairs.alias("c")).select("t", "key", F.col("c.p").alias("p"), F.col("c.q").alias("q"), "node", "fp")
+    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min(F.struct("fp", "node")).alias("lead")).filter("n > 1").select(F.col("t").alias("bt"), F.col("key").alias("bk"), "n", "lead")
+    large = materialise(sizes.filter(F.col("n") > chunk), "large")
+    small = keyed.join(sizes.filter(F.col("n") <= chunk), (F.col("t") == F.col("bt")) & (F.col("key") == F.col("bk"))).select("t", "key", F.lit(0).alias("p"), F.lit(0).alias("q"), "node", "fp")
+    if large.isEmpty():
+        return _forests(small, radius)
+    # Large buckets are fewer than keys / chunk, and their rows are of fixed width.
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= radius
+    crowded = materialise(join_counted(keyed, large, [("t", "bt"), ("key", "bk")], "n").select("t", "key", "node", "fp", F.col("lead.node").alias("lead"), near.alias("near")), "crowded")
+    counts = crowded.groupBy("t", "key").agg(F.count_if("near").alias("a"), F.count_if(~F.col("near")).alias("b"), F.count("*").alias("n"))
+    parts = lambda c: F.ceil(F.col(c) / chunk).cast("int")
+    sized = materialise(counts.filter("b > 0").select(F.col("t").alias("bt"), F.col("key").alias("bk"), "n", parts("a").alias("pa"), parts("b").alias("pb")), "sized")
+    own = F.when(F.col("near"), F.pmod(F.xxhash64("fp"), F.col("pa"))).otherwise(F.col("pa") + F.pmod(F.xxhash64("fp"), F.col("pb"))).cast("int")
+    # Chunks below pa hold what is near the first fingerprint: they meet all chunks from pa on, those meet every chunk.
+    first = F.when(F.col("near"), F.col("pa")).otherwise(F.lit(0))
+    pairs = F.explode(F.transform(F.sequence(first, F.col("pa") + F.col("pb") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("p"), F.greatest(x, F.col("own")).alias("q"))))
+    runs = join_counted(crowded, sized, [("t", "bt"), ("key", "bk")], "n").withColumn("own", own).select("t", "key", pairs.alias("c"), "node", "fp").select("t", "key", F.col("c.p").alias("p"), F.col("c.q").alias("q"), "node", "fp")
+    to_lead = crowded.filter("near AND node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    return _forests(small.unionByName(runs), radius).unionByName(to_lead)
+
+
+def _forests(runs: DataFrame, radius: int) -> DataFrame:
+    """The edges of a spanning forest of the links within each run (t, key, p, q) of rows (node, fp)."""
     dealt = runs.repartition("t", "key", "p", "q").sortWithinPartitions("t", "key", "p", "q")
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,14 +165,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks:
     """(doc_id, fingerprint, component_id) for every document: components of fingerprints within ``radius`` bits.
 
     component_id is the smallest doc_id of the component. Texts without a word have fingerprint 0 and are linked like any
-    other; null text counts as empty. Rows that share a doc_id are one node only if their fingerprints agree; a repeated
-    doc_id with different texts links what either is near to. A null doc_id keeps its row and takes the component of its
-    fingerprint. An empty table gives no rows; extra columns are ignored.
+    other; null text counts as empty. Each row goes by its own text: rows that repeat a doc_id with different texts have the
+    components of their texts, which the doc_id alone does not join, though it names them. A null doc_id keeps its row and
+    takes the component of its fingerprint, null if no doc_id has it. An empty table gives no rows; extra columns are ignored.
     """
     fps = materialise(fingerprints(docs, shingle), "fingerprints")
-    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"), "nodes")
-    # Fingerprints of one repeated doc_id meet through it: they are nodes under the same id.
-    labels = components(links(nodes, radius, blocks))
-    of_fp = nodes.join(labels, "node", "left").select(F.col("fp").alias("f"), F.coalesce("component", "node").alias("component_id"))
-    joined = fps.join(of_fp, F.col("fp") == F.col("f"), "left")
+    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+    # Fingerprints are the nodes: their smallest doc_ids may be one.
+    labels = components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius, blocks))
+    named = materialise(nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named")
+    names = named.groupBy(F.col("component").alias("c")).agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    of_fp = materialise(join_counted(named, names, [("component", "c")], "size").select(F.col("fp").alias("f"), "n", "component_id"), "of-fp")
+    joined = join_counted(fps, of_fp, [("fp", "f")], "n")
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
