@@ -229,18 +229,19 @@ def predictions(docs: DataFrame, model: PpmModel, keep: list[str] = ("doc_id",),
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*(f"`{c}`" for c in keep)) if "text" in keep else docs.select(*(f"`{c}`" for c in keep), "text")
     place, n = kept.columns.index("text"), len(keep)
-    fields = kept.schema.fields[:n]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{names[0]}` string", f"`{names[1]}` double", f"`{names[2]}` double"])
+    # Columns go by their places: their names may be any.
+    kinds = [*(f.dataType.simpleString() for f in kept.schema.fields[:n]), "string", "double", "double"]
+    schema = ", ".join(f"c{i} {kind}" for i, kind in enumerate(kinds))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             lang, scores, rate = model.predict(batch.column(place).to_pylist())
             made = [pa.array(lang, pa.string()), pa.array(scores), pa.array(rate)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=[*batch.schema.names[:n], *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=[f"c{i}" for i in range(n + 3)])
 
     bounded_batches(docs.sparkSession)
-    return kept.mapInArrow(predict, schema)
+    return kept.toDF(*(f"c{i}" for i in range(len(kept.columns)))).mapInArrow(predict, schema).toDF(*keep, *names)
 
 
 def held_out(divisor: int = 4, remainder: int = 2):
