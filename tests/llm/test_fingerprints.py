@@ -2,8 +2,8 @@ import hashlib
 
 import numpy as np
 
-from tests.llm.helpers import edge_docs, edge_rows, no_docs, prose
-from wayfold.llm.fingerprints import edited, fingerprint_documents, likeness, permutations, simhash, with_neighbours, within
+from tests.llm.helpers import edge_docs, edge_rows, no_docs, odd_docs, odd_ids, prose
+from wayfold.llm.fingerprints import edited, fingerprint_documents, likeness, permutations, simhash, term_votes, with_neighbours, within
 
 
 def test_rows_meet_the_next_document(spark):
@@ -33,6 +33,14 @@ def test_many_buckets_one_row_repeats_and_nulls(spark):
     assert fingerprint_documents(one).first().near_next == 1.0
     odd = spark.createDataFrame([(None, "a"), (None, "b"), (3, "c")], "doc_id long, text string")
     assert fingerprint_documents(odd).count() == 3
+    made = fingerprint_documents(odd_docs(spark)).collect()
+    assert sorted((r.doc_id, r.n_chars, r.fingerprint & (1 << 64) - 1) for r in made if r.doc_id) == sorted((i, len(t or ""), simhash(t or "")) for i, t in odd_ids() if i)
+    assert len(made) == len(odd_ids())
+
+
+def test_votes_are_whole_numbers():
+    hashes, weights = term_votes(prose(7, 50) + " " + "x" * 70_000)
+    assert (weights == np.floor(weights)).all() and weights.max() * (1 << 15) < 1 << 24 and len(hashes) == len(weights)
 
 
 def test_equal_texts_and_changes():

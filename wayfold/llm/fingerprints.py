@@ -9,15 +9,16 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.llm.hot import join_counted
 from wayfold.plans.scratch import bounded_batches, materialise
 
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -26,7 +27,8 @@ FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9],
 def term_votes(text: str, size: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and weights of the terms of a text: runs of ``size`` words in lower case, or all of them if there are fewer.
 
-    A longer term says more, so its weight is 1 + ln(its bytes).
+    A longer term says more, so its weight is the number of binary digits of its length in bytes. Weights are whole numbers, so
+    that sums are exact in any order.
     """
     words = text.lower().encode("utf-8", "replace").split()
     if not words:
@@ -42,7 +44,7 @@ def term_votes(text: str, size: int = 2) -> tuple[np.ndarray, np.ndarray]:
         mixed = (mixed ^ (mixed >> np.uint64(32))) * FACTORS[1]
         mixed ^= mixed >> np.uint64(29)
     total = np.concatenate([[0], np.cumsum(lengths)])
-    return mixed, (1 + np.log(total[size:] - total[:-size])).astype(np.float32)
+    return mixed, np.frexp(total[size:] - total[:-size])[1].astype(np.float32)
 
 
 def simhash(text: str, size: int = 2) -> int:
@@ -52,7 +54,7 @@ def simhash(text: str, size: int = 2) -> int:
     for at in range(0, len(hashes), 1 << 15):
         part, weight = hashes[at : at + (1 << 15)].astype("<u8"), weights[at : at + (1 << 15)]
         bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-        votes += 2.0 * (weight @ bits) - weight.sum(dtype=np.float64)
+        votes += 2.0 * (weight @ bits) - weight.sum(dtype=np.float64)  # below 2 ** 24, and so exact
     return int(np.packbits(votes > 0, bitorder="little").view("<u8")[0])
 
 
@@ -66,65 +68,71 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _bucketed(docs: DataFrame) -> DataFrame:
-    """Rows dealt into buckets by ranges of doc_id, with the first document of each bucket also as a guest at the end of the
-    one before it (of the last, for the very first): so every row meets the row that follows it, and texts move once."""
-    spark = docs.sparkSession
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    n = max(4, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    quantiles = ids.agg(F.expr(f"approx_percentile(doc_id, {_array([i / n for i in range(1, n)], 'double')}, {20 * n})")).first()[0]
-    bounds = sorted(set(quantiles or []))
-    # Bounds in groups, so that a row is compared with about twice the square root of their number.
-    step = max(1, round(len(bounds) ** 0.5))
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)] or [[]]
-    heads, lists = _array([g[0] for g in groups if g], "bigint"), f"from_json('{json.dumps(groups)}', 'array<array<bigint>>')"
-    group = f"size(filter({heads}, b -> b <= doc_id))"
-    bucket = F.coalesce(F.expr(f"if(doc_id IS NULL OR {group} < 1, 0, ({group} - 1) * {step} + size(filter({lists}[{group} - 1], b -> b <= doc_id)))"), F.lit(0))
-    firsts = {r[0]: r[1] for r in ids.withColumn("bucket", bucket).groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("first")).select("bucket", "first.doc_id").collect()}
-    used = sorted(firsts)
-    before = {b: used[i - 1] for i, b in enumerate(used)}
-    first = [firsts.get(b) for b in range(len(bounds) + 1)]
-    back = [before.get(b, 0) for b in range(len(bounds) + 1)]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("bucket", bucket)
-    guest = F.expr(f"doc_id <=> {_array(first, 'bigint')}[bucket]")
-    places = F.when(guest, F.array(F.struct("bucket", F.lit(False).alias("guest")), F.struct(F.expr(f"{_array(back, 'int')}[bucket]").alias("bucket"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct("bucket", F.lit(False).alias("guest"))))
-    return rows.select("doc_id", "text", F.explode(places).alias("p")).select("p.bucket", "p.guest", "doc_id", "text")
-
-
-def _array(values: list, kind: str) -> str:
-    """A constant array that stays one literal in the plan, however long."""
-    return f"from_json('{json.dumps(values)}', 'array<{kind}>')"
+ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint long, edited_fingerprint long, near_edited double, near_next double"
+#: Bytes of text in a range of documents, about.
+RANGE_BYTES = 64 << 20
+
+
+def _row(doc_id: int | None, text: str, fp: int, following: str, fp_next: int, size: int) -> tuple:
+    changed = edited(text, following)
+    other = simhash(changed, size)
+    return (doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(), _signed(fp), _signed(other), likeness(fp, other), likeness(fp, fp_next))
+
+
+def _batch(rows: list[tuple], fields: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+    names, types = zip(*(f.split() for f in fields.split(", ")), strict=True)
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
 
 
 def fingerprint_documents(docs: DataFrame, size: int = 2) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every document.
 
-    The next document is the next in order of (doc_id, text), a null doc_id being first and the first one following the last.
-    Null text counts as empty; a text without words has fingerprint 0; repeated rows follow each other. An empty table gives
-    no rows; extra columns are ignored.
+    The next document is the next in order of (doc_id, hash of the text, text), a null doc_id being first and the first one
+    following the last. Null text counts as empty; a text without words has fingerprint 0; repeated rows follow each other. An
+    empty table gives no rows; extra columns are ignored.
+
+    Texts move once, into ranges in that order, whose number follows their bytes. Within a range each row meets the next; the
+    ends of the ranges, two rows each, meet in a join.
     """
-    dealt = _bucketed(docs).repartition("bucket").sortWithinPartitions("bucket", "guest", "doc_id", "text")
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint long, edited_fingerprint long, near_edited double, near_next double"
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // RANGE_BYTES))
+    dealt = rows.repartitionByRange(ranges, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
+    fields = f"{ROW}, place int, side int, text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # bucket, doc_id, text, fingerprint: waits for the row after it
+        place, held = TaskContext.get().partitionId(), None  # doc_id, text, fingerprint: waits for the row after it
+        end = lambda side, row: (row[0], None, None, _signed(row[2]), None, None, None, place, side, row[1])
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for bucket, guest, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            out = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
-                fp = simhash(text, size) if held is None or held[2] != text else held[3]
-                if held is not None and held[0] == bucket:
-                    changed = edited(held[2], text)
-                    other = simhash(changed, size)
-                    row = (held[1], len(held[2]), hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(), _signed(held[3]), _signed(other), likeness(held[3], other), likeness(held[3], fp))
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-                held = None if guest else (bucket, doc_id, text, fp)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
+                now = (doc_id, text, held[2] if held is not None and held[1] == text else simhash(text, size))
+                out.append(end(0, now) if held is None else (*_row(*held, text, now[2], size), place, None, None))
+                held = now
+            yield _batch(out, fields)
+        if held is not None:
+            yield _batch([end(1, held)], fields)
+
+    bounded_batches(spark)
+    met = materialise(dealt.mapInArrow(run, fields), "ranges")
+    # A row for each range, without its texts: the range after each, and the first after the last.
+    places = met.filter("side = 0").select("place")
+    order = Window.orderBy("place")
+    after = places.select("place", F.coalesce(F.lead("place").over(order), F.first("place").over(order)).alias("after"))
+    last = met.filter("side = 1").select("doc_id", "text", "fingerprint", "place")
+    first = met.filter("side = 0").select(F.col("place").alias("after"), F.col("text").alias("following"), F.col("fingerprint").alias("fp_next"))
+    ends = last.join(after, "place").join(first, "after").select("doc_id", "text", "fingerprint", "following", "fp_next")
+
+    def join_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _batch([_row(d, t, fp % (1 << 64), following, fp_next % (1 << 64), size) for d, t, fp, following, fp_next in zip(*(c.to_pylist() for c in batch.columns), strict=True)], ROW)
 
-    bounded_batches(docs.sparkSession)
-    return dealt.mapInArrow(run, schema)
+    names = [f.split()[0] for f in ROW.split(", ")]
+    return met.filter("side IS NULL").select(*names).unionByName(ends.mapInArrow(join_ends, ROW))
 
 
 def _signed(value: int) -> int:
@@ -176,16 +184,18 @@ def within(fingerprints: DataFrame, queries: DataFrame, radius: int = 3, blocks:
         return df.select(name, F.explode(keys).alias("k")).select(name, "k.t", "k.key")
 
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("query_fp")))
-    met = keyed(table, "fp").join(keyed(asked, "query_fp"), ["t", "key"]).filter(distance <= radius)
+    # Either side grows with the data, so neither is to be broadcast.
+    met = keyed(table, "fp").join(keyed(asked, "query_fp").hint("merge"), ["t", "key"]).filter(distance <= radius)
     return met.select("query_fp", "fp", distance.cast("int").alias("distance")).distinct()
 
 
 def with_neighbours(rows: DataFrame, radius: int = 3, every: int = 20) -> DataFrame:
     """Adds n_near: for rows whose doc_id is divisible by ``every``, how many other rows lie within ``radius`` bits."""
     rows = materialise(rows, "fingerprints")
-    counts = rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.count("*").alias("n"))
-    asked = rows.filter(F.col("doc_id") % every == 0).select(F.col("fingerprint").alias("fp"))
-    found = within(counts, asked, radius).join(counts, "fp").groupBy("query_fp").agg((F.sum("n") - 1).alias("n_near"))
-    joined = rows.join(found, F.col("fingerprint") == F.col("query_fp"), "left")
+    asked_for = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    counts = materialise(rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.count("*").alias("n"), F.bool_or(asked_for).alias("asked")), "counts")
+    found = within(counts, counts.filter("asked"), radius).join(counts.select("fp", "n").hint("merge"), "fp").groupBy(F.col("query_fp")).agg((F.sum("n") - 1).alias("n_near"))
+    near_of = materialise(counts.select("fp", F.col("n").alias("k")).join(found.hint("merge"), F.col("fp") == F.col("query_fp"), "left").select("fp", "k", "n_near"), "near")
+    joined = join_counted(rows, near_of, [("fingerprint", "fp")], "k")
     near = F.when(F.col("doc_id") % every == 0, F.col("n_near")).alias("n_near")
     return joined.select("doc_id", "n_chars", "edited_sha256", as_hex("fingerprint").alias("fingerprint"), as_hex("edited_fingerprint").alias("edited_fingerprint"), "near_edited", "near_next", near)
