@@ -5,8 +5,8 @@ from collections import Counter
 import numpy as np
 
 from tests.llm.helpers import edge_docs, edge_rows, no_docs, prose
-from wayfold.llm.hpylm import Contexts, WordModel, block_pairs, blocks, meet, sample_spelling, score, seat_contexts, stirling, tables
-from wayfold.llm.hpylm import _counted, _unpack, _unpack_words, _values
+from wayfold.llm.hpylm import OPEN, Contexts, WordModel, add_up, block_pairs, blocks, draw_contexts, known_words, meet, sample_spelling, score, states, stirling, tables
+from wayfold.llm.hpylm import VALUES, _counted, _floats, _unpack, _unpack_words
 
 
 def tokens(text):
@@ -94,6 +94,13 @@ def test_held_out_text_is_more_likely_than_under_the_base(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+class OneEach(Contexts):
+    """A table for every customer."""
+
+    def seat(self, c, pull, rng):
+        return c.astype(float)
+
+
 def test_pairs_and_their_tables_against_brute_force(spark):
     """Counts of pairs over several blocks, and the sums of their tables by word, against counting in Python."""
     rows = [(i, prose(i, 40) + f" w{i % 5}" if i % 11 else None) for i in range(80)]
@@ -110,8 +117,8 @@ def test_pairs_and_their_tables_against_brute_force(spark):
     assert sum(found.column("twos").to_pylist()) == sum(c == 2 for c in pairs.values())
     all_blocks = cut.toArrow().to_pylist()
     assert len(all_blocks) > 4
-    contexts = Contexts(sum(words.values()), len(words), 0.6, 1.0, 3)
-    want, owners = Counter(), Counter()
+    contexts = OneEach(sum(words.values()), len(words), 0.6, 1.0)
+    owners = Counter()
     for b in all_blocks:
         spelled = _unpack_words(b["words"])
         p = block_pairs(_unpack(b["places"]), np.array(b["n_tokens"]), spelled)
@@ -119,18 +126,21 @@ def test_pairs_and_their_tables_against_brute_force(spark):
         c_word, (c, owned) = _counted(mine, 0)[0], _counted(mine, 1)
         assert [words[w] for w in spelled] == c_word.tolist()
         assert [pairs[spelled[u], spelled[w]] for u, w in zip(p.before, p.now, strict=True)] == c.tolist()
-        t = contexts.seat(p.keys, c, c_word[p.before], c_word[p.now])
-        assert ((t >= 3 * np.minimum(c, 1)) & (t <= 3 * c)).all()
-        for u, w, n, own in zip(p.before, p.now, t, owned, strict=True):
+        for u, w, own in zip(p.before, p.now, owned, strict=True):
             owners[spelled[u], spelled[w]] += own
-            want["served", spelled[w]] += n * own
-            want["open", spelled[u]] += n * own
     assert set(owners.values()) == {1}
-    seated = seat_contexts(cut, met, contexts, 8).toArrow()
+    # The sums are those of the pairs' counts.
+    state = states(cut, met, 8, 8)
+    added = add_up(draw_contexts(state, spark.createDataFrame([], VALUES), contexts, 0, 8), met, 8).cache()
+    rows = added.toArrow()
+    want = Counter()
+    for (u, _), n in pairs.items():
+        want[u] += n
     for b in all_blocks:
-        sums = np.concatenate([_unpack(x, "<u8").reshape(2, -1) for x in _values(seated.filter(pc_equal(seated, b["block"])), 3)], axis=1)
-        spelled = _unpack_words(b["words"])
-        assert sums[0].tolist() == [want["open", w] for w in spelled] and sums[1].tolist() == [want["served", w] for w in spelled]
+        open_ = _floats(rows.filter(pc_equal(rows, b["block"])), OPEN)
+        assert open_.tolist() == [want[w] for w in _unpack_words(b["words"])]
+    served = {w: n for r in known_words(met, added).collect() for w, n in zip(_unpack_words(r["words"]), _unpack(r["values"], "<u8").tolist(), strict=True)}
+    assert served == {w: words[w] for w in served} and set(words) <= set(served)
 
 
 def pc_equal(table, block):
@@ -140,6 +150,90 @@ def pc_equal(table, block):
 
 
 
+def seat_by_seat(pairs, base, d, d_word, sweeps, seed):
+    """The same two levels with every customer at a table of its own record, moved one by one: averaged predictive
+    probabilities of (before, now). ``base``: the probability of each word below the word restaurant."""
+    rng = np.random.default_rng(seed)
+    rest = {u: {} for u, _ in pairs}  # restaurant: dish: sizes of its tables
+    word: dict = {}  # dish: sizes of its tables, whose customers are the tables above
+
+    def p_word(w):
+        n, t = sum(map(sum, word.values())), sum(map(len, word.values()))
+        return (sum(word.get(w, [])) - d_word * len(word.get(w, [])) + (1 + d_word * t) * base[w]) / (1 + n)
+
+    def put(sizes, dd, new):
+        weights = np.array([*(k - dd for k in sizes), new])
+        k = rng.choice(len(weights), p=weights / weights.sum())
+        if k < len(sizes):
+            sizes[k] += 1
+            return False
+        sizes.append(1)
+        return True
+
+    def take(sizes):
+        k = rng.choice(len(sizes), p=np.array(sizes) / sum(sizes))
+        sizes[k] -= 1
+        if not sizes[k]:
+            sizes.pop(k)
+            return True
+        return False
+
+    def p_pair(u, w):
+        mine = rest.get(u, {})
+        n, t = sum(map(sum, mine.values())), sum(map(len, mine.values()))
+        return (sum(mine.get(w, [])) - d * len(mine.get(w, [])) + (1 + d * t) * p_word(w)) / (1 + n)
+
+    def enter(u, w):
+        t = sum(map(len, rest[u].values()))
+        if put(rest[u].setdefault(w, []), d, (1 + d * t) * p_word(w)):
+            tw = sum(map(len, word.values()))
+            put(word.setdefault(w, []), d_word, (1 + d_word * tw) * base[w])
+
+    for u, w in pairs:
+        enter(u, w)
+    total = Counter()
+    for sweep in range(sweeps):
+        for u, w in pairs:
+            if take(rest[u][w]):
+                take(word[w])
+            enter(u, w)
+        if sweep >= sweeps // 4:
+            for pair in set(pairs):
+                total[pair] += p_pair(*pair)
+    return {k: v / (sweeps - sweeps // 4) for k, v in total.items()}
+
+
+def test_sweeps_agree_with_an_exact_sampler():
+    """Alternate draws of whole restaurants, as ``score`` makes them, against customers that are moved one by one."""
+    r = np.random.default_rng(3)
+    words = ["a", "b", "c", "d", "e"]
+    pairs = [(words[min(int(r.exponential(1.2)), 4)], words[min(int(r.exponential(1.5)), 4)]) for _ in range(160)]
+    base = dict(zip(words, (0.2, 0.2, 0.15, 0.15, 0.1), strict=True))
+    d, d_word = 0.6, 0.5
+    want = seat_by_seat(pairs, base, d, d_word, 500, 1)
+    counts = Counter(pairs)
+    keys = sorted(counts)
+    c = np.array([counts[k] for k in keys])
+    before, now = (np.array([words.index(k[i]) for k in keys]) for i in (0, 1))
+    c_before = np.bincount(before, weights=c, minlength=5)
+    h = np.array([base[w] for w in words])
+    contexts, log_s = Contexts(len(pairs), 5, d, 1.0), stirling(d_word)
+    open_, p = contexts.first_open(c_before), np.maximum(np.bincount(now, weights=c, minlength=5), 1) / len(pairs)
+    t_word, total, rng = np.ones(5), np.zeros(len(keys)), np.random.default_rng(2)
+    for sweep in range(400):
+        t = contexts.seat(c, contexts.pull(open_[before], p[now]), rng)
+        open_, served = np.bincount(before, weights=t, minlength=5), np.bincount(now, weights=t, minlength=5)
+        x = (1 + d_word * t_word.sum()) * h
+        t_word = tables(served, x, d_word, log_s, rng)
+        x = (1 + d_word * t_word.sum()) * h
+        p = (np.maximum(served - d_word * tables(served, x, d_word, log_s, None), 0) + x) / (1 + served.sum())
+        if sweep >= 100:
+            total += contexts.predictive(c, c_before[before], open_[before], p[now]) / 300
+    got = dict(zip(keys, total, strict=True))
+    assert max(abs(math.log10(got[k] / want[k])) for k in keys) < 0.04
+    assert abs(sum(counts[k] * math.log10(got[k] / want[k]) for k in keys)) / len(pairs) < 0.01
+
+
 def test_texts_of_one_word_are_a_distribution_with_the_longer_ones(spark):
     """The empty text, the vocabulary's texts of one word and an unknown one together have less than all probability."""
     learned = [(i, prose(i, 3) if i % 2 else prose(i, 1)) for i in range(120) if not held(i)]

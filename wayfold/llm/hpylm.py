@@ -6,12 +6,14 @@ word's bytes, one after the other, each from the restaurant of the two bytes bef
 context of one byte and is shared by all contexts that end in it, the parent of those is the empty context, and the base of
 that is uniform. A new table in a restaurant is a customer of its parent. A text's first word follows the end of a text.
 
-Seating is sampled by Gibbs sweeps. Given its parent's probabilities, the number of tables that serve a dish to c customers
-is drawn from its exact conditional distribution (generalised Stirling numbers) up to ``EXACT`` customers; further customers
-are seated in blocks of a tenth. Restaurants are drawn side by side from the state before the sweep: context restaurants
-start from their expected numbers of tables and the words' shares, and are drawn ``seatings`` times; predictive probabilities
-are averaged over these seatings, and those of the spelling model over the sweeps after burn-in; the word restaurant's own
-tables are averaged in closed form.
+Seating is sampled by Gibbs sweeps. A sweep draws the tables of every pair in the context restaurants, given how many tables
+each restaurant had and how likely the word restaurant thought each word after the sweep before; then the words' tables, given
+how many context tables serve them; then the spelling restaurants. Given its parent's probabilities, the number of tables that
+serve a dish to c customers has an exact distribution (generalised Stirling numbers), which is used up to ``EXACT`` customers;
+further customers are seated in blocks of a tenth. Restaurants of one level are drawn side by side from the state before. The
+first sweep starts from expected numbers of tables and the words' shares. After ``burn_in`` sweeps, the predictive
+probability of every token is worked out in each sweep's state, a pair's own tables by their expectation in that state, and
+these probabilities are averaged over ``samples`` sweeps.
 
 Two scores come of it. ``spelled_score`` is over all byte strings: an unknown word has the probability of its spelling.
 ``score`` is over the known words and one class of all others, as the base is: an unknown word has the probability of that
@@ -21,7 +23,8 @@ Scale: texts are read once and cut into blocks of whole documents, one row each,
 documents as places among them. A block's words, and its pairs of neighbours as 64-bit hashes, travel as sorted, compressed
 slices to the part of their hash, where those of all blocks are counted; counts go back in the slices' order. The number of
 parts follows the bytes of text. A word or pair is in each block once, however frequent. The driver holds the spelling
-counts only (at most 257 ** 3, whatever the corpus).
+counts only (at most 257 ** 3, whatever the corpus). A sweep moves numbers for words alone, in the order of the block's and
+the part's words, which do not move again; pairs stay where they are.
 """
 
 from __future__ import annotations
@@ -82,8 +85,15 @@ def tables(c: np.ndarray, x: np.ndarray, discount: float, log_s: np.ndarray, rng
         several, width = np.flatnonzero((c > least) & (c <= most)), int(min(most, EXACT)) + 1
         for lo in range(0, len(several), 250_000 // width):
             k = several[lo : lo + 250_000 // width]
-            w = log_s[np.minimum(c[k], EXACT).astype(np.int64), :width] + np.arange(width) * np.log(np.maximum(x[k], 1e-300))[:, None]
-            w = np.exp(w - w.max(axis=1, keepdims=True))
+            seated = np.minimum(c[k], EXACT).astype(np.int64)
+            if most <= 12:  # small enough for plain numbers, the most probable being near 1
+                w, power = np.zeros((len(k), width)), np.ones(len(k))
+                for n_tables in range(1, width):
+                    power = power * np.maximum(x[k], 1e-20)
+                    w[:, n_tables] = np.exp(log_s[:, n_tables])[seated] * power
+            else:
+                w = log_s[seated, :width] + np.arange(width) * np.log(np.maximum(x[k], 1e-300))[:, None]
+                w = np.exp(w - w.max(axis=1, keepdims=True))
             if rng is None and uniform is None:
                 t[k] = (w @ np.arange(width)) / w.sum(axis=1)
             else:
@@ -341,8 +351,8 @@ MET_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.in
 def meet(cut: DataFrame, parts: int) -> DataFrame:
     """Counts over all blocks: rows for a block's slice of words (kind 0) or pairs (kind 1), and a part's words (kind 2).
 
-    ``values`` are 2 * count in training + 1 in the block that owns the word or pair, which is one. ``ones`` and ``twos``
-    count a part's pairs seen once and twice.
+    ``values`` are 2 * count in training + 1 in the block that owns the word or pair, which is one; ``words`` of a slice of
+    words are their places among the part's. ``ones`` and ``twos`` count a part's pairs seen once and twice.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,40 +379,45 @@ def meet(cut: DataFrame, parts: int) -> DataFrame:
         values = 2 * c[at]
         values[first] += 1
         ends = np.cumsum([len(x) for x in n])
-        rows = [(block, part % parts, int(part >= parts), None, _pack(values[hi - len(x) : hi], "<u8"), 0, 0) for block, x, hi in zip(owners, n, ends.tolist(), strict=True)]
+        rows = [(block, part % parts, int(part >= parts), _pack(at[hi - len(x) : hi]) if part < parts else None, _pack(values[hi - len(x) : hi], "<u8"), 0, 0) for block, x, hi in zip(owners, n, ends.tolist(), strict=True)]
         if part < parts:
             rows.append((None, part, 2, _pack_words(list(index)), _pack(c, "<u8"), 0, 0))
         else:
             rows[0] = (*rows[0][:5], int((c == 1).sum()), int((c == 2).sum()))
         return _table("block part kind words values ones twos", MET_KINDS, rows)
 
-    return cut.select("block", "held_out", "n_tokens", "places", "words", "n").mapInArrow(deal, SLICE).groupBy("part").applyInArrow(count, MET)
+    return cut.select("block", "held_out", "n_tokens", "places", "words", "n").mapInArrow(deal, SLICE).repartition(4 * parts, "part").groupBy("part").applyInArrow(count, MET)
 
 
 @dataclass
 class Contexts:
-    """The context restaurants: training tokens, different words, discount and strength, and how often they are seated."""
+    """The context restaurants: training tokens, different words, discount and strength."""
 
     tokens: int
     words: int
     discount: float
     strength: float
-    seatings: int
 
-    def seat(self, keys: np.ndarray, c: np.ndarray, c_before: np.ndarray, c_now: np.ndarray) -> np.ndarray:
-        """The pairs' tables, added up over all seatings; the same pair draws the same everywhere.
+    def __post_init__(self) -> None:
+        self.log_s = stirling(self.discount)
+
+    def first_open(self, c_before: np.ndarray) -> np.ndarray:
+        """The number of tables expected in restaurants before anything is known of their dishes."""
+        n = np.maximum(c_before, 1).astype(np.float64)
+        return np.minimum(np.power(n, self.discount) * math.gamma(self.strength + 1) / (self.discount * math.gamma(self.strength + self.discount)), n)
+
+    def pull(self, open_: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """What a new table weighs: ``p`` is the word restaurant's probability of the dish."""
+        return (self.strength + self.discount * open_) * p
 
-        Drawn from the first state: a restaurant has the number of tables expected before anything is known of its dishes,
-        and words have their shares of all tokens.
-        """
-        open_ = np.power(np.maximum(c_before, 1.0), self.discount) * math.gamma(self.strength + 1) / (self.discount * math.gamma(self.strength + self.discount))
-        x = (self.strength + self.discount * np.minimum(open_, np.maximum(c_before, 1))) * np.maximum(c_now, 1) / max(self.tokens, 1)
-        total = np.minimum(c, 1) * float(self.seatings)
-        several = np.flatnonzero(c > 1)
-        if len(several):
-            uniform = np.stack([(_mix(keys[several] + np.uint64(k + 1)) >> np.uint64(11)) / 2.0**53 for k in range(self.seatings)])
-            total[several] = tables(c[several].astype(np.float64), x[several], self.discount, stirling(self.discount), None, uniform)
-        return total
+    def seat(self, c: np.ndarray, pull: np.ndarray, rng: np.random.Generator | None) -> np.ndarray:
+        """A draw of the tables that serve dishes to c customers, or their expected numbers without ``rng``."""
+        return tables(c.astype(np.float64), pull, self.discount, self.log_s, rng)
+
+    def predictive(self, c: np.ndarray, c_before: np.ndarray, open_: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """The probability of dishes in restaurants with ``c_before`` customers at ``open_`` tables, c of them at that dish."""
+        pull = self.pull(open_, p)
+        return (np.maximum(c - self.discount * self.seat(c, pull, None), 0) + pull) / (self.strength + c_before)
 
 
 def _values(found: pa.Table, kind: int) -> list[bytes]:
@@ -417,60 +432,124 @@ def _counted(found: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
     return v // 2, v % 2 == 1
 
 
-def seat_contexts(cut: DataFrame, met: DataFrame, contexts: Contexts, parts: int) -> DataFrame:
-    """Seats all pairs, each where it is owned, and adds up by word.
+STATE = "block long, cuts array<int>, before binary, now binary, c binary, once binary, c_word binary"
+SUMS = "part int, block long, n binary"
+VALUES = "block long, part int, kind int, values binary"
+VALUE_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
-    Kind 3, for a block's slice of words: tables in the word's own restaurant, then tables that serve it, over all seatings.
-    Kind 4, for a part's words: tables that serve each.
-    """
 
-    def draw(block: pa.Table, found: pa.Table) -> pa.Table:
+def states(cut: DataFrame, met: DataFrame, parts: int, tasks: int) -> DataFrame:
+    """What a block's draws need: the pairs that it owns and that are seen more than once, sums of those seen once, and where
+    the parts' slices of its words are."""
+
+    def made(block: pa.Table, found: pa.Table) -> pa.Table:
         words, lengths = _unpack_words(block.column("words")[0].as_py()), np.array(block.column("n_tokens")[0].as_py())
         pairs = block_pairs(_unpack(block.column("places")[0].as_py()), lengths, words)
-        c_word = _counted(found, 0)[0]
         c, owned = _counted(found, 1)
-        k = np.flatnonzero(owned & (c > 0))
-        before, now = pairs.before[k], pairs.now[k]
-        t = contexts.seat(pairs.keys[k], c[k], c_word[before], c_word[now])
-        open_, served = np.bincount(before, weights=t, minlength=len(words)), np.bincount(now, weights=t, minlength=len(words))
+        once = np.stack([np.bincount(at[owned & (c == 1)], minlength=len(words)) for at in (pairs.before, pairs.now)])
+        k = np.flatnonzero(owned & (c > 1))
+        k = k[np.lexsort((pairs.now[k], pairs.before[k]))]
+        cuts = [x for one in _cuts(_hashes(words), parts) for x in one]
+        row = (block.column("block")[0].as_py(), cuts, _pack(np.diff(pairs.before[k], prepend=np.int32(0))), _pack(pairs.now[k]), _pack(c[k], "<u8"), _pack(once.ravel()), _pack(_counted(found, 0)[0], "<u8"))
+        return _table("block cuts before now c once c_word", [pa.int64(), pa.list_(pa.int32()), *[pa.binary()] * 5], [row])
+
+    mine = met.filter("kind < 2").select("block", "part", "kind", "values").repartition(tasks, "block")
+    return cut.select("block", "n_tokens", "places", "words").repartition(tasks, "block").groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(made, STATE)
+
+
+def _floats(found: pa.Table, kind: int) -> np.ndarray:
+    """A block's slices of numbers of one kind, in order of their parts."""
+    return np.concatenate([np.frombuffer(x, dtype="<f4") for x in _values(found, kind)]).astype(np.float64)
+
+
+def draw_contexts(state: DataFrame, values: DataFrame, contexts: Contexts, sweep: int, tasks: int) -> DataFrame:
+    """One draw of all pairs' tables, each where it is owned: for a block's slice of words, the tables in their restaurants and
+    the context tables that serve them. ``values``: the state of the sweep before, kinds ``OPEN`` and ``LOG_P``; may be empty.
+    """
+
+    def draw(block: pa.Table, found: pa.Table) -> pa.Table:
         at = block.column("block")[0].as_py()
-        rows = [(p, at, _pack_words(words[lo:hi]), None, _pack(np.concatenate([open_[lo:hi], served[lo:hi]]), "<u8")) for p, lo, hi in _cuts(_hashes(words), parts)]
-        return _table("part block words keys n", [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], rows)
-
-    def add(slices: pa.Table) -> pa.Table:
-        part = slices.column("part")[0].as_py()
-        n = [_unpack(x.as_py(), "<u8").reshape(2, -1) for x in slices.column("n")]
-        index: dict[bytes, int] = {}
-        at = np.fromiter((index.setdefault(w, len(index)) for x in slices.column("words") for w in _unpack_words(x.as_py())), dtype=np.int64, count=sum(x.shape[1] for x in n))
-        both = np.concatenate(n, axis=1)
-        open_, served = np.bincount(at, weights=both[0]), np.bincount(at, weights=both[1])
-        ends = np.cumsum([x.shape[1] for x in n]).tolist()
-        rows = [(block, part, 3, None, _pack(np.concatenate([open_[at[hi - x.shape[1] : hi]], served[at[hi - x.shape[1] : hi]]]), "<u8"), 0, 0) for block, x, hi in zip(slices.column("block").to_pylist(), n, ends, strict=True)]
-        rows.append((None, part, 4, _pack_words(list(index)), _pack(served, "<u8"), 0, 0))
-        return _table("block part kind words values ones twos", MET_KINDS, rows)
+        before, now, c, once, c_word = (_unpack(block.column(i)[0].as_py(), k) for i, k in ((2, "<u4"), (3, "<u4"), (4, "<u8"), (5, "<u4"), (6, "<u8")))
+        before, c, c_word = np.cumsum(before), c.astype(np.int64), c_word.astype(np.int64)
+        open_ = _floats(found, OPEN) if found.num_rows else contexts.first_open(c_word)
+        p = np.power(10.0, _floats(found, LOG_P)) if found.num_rows else np.maximum(c_word, 1) / max(contexts.tokens, 1)
+        t = contexts.seat(c, contexts.pull(open_[before], p[now]), np.random.default_rng((at, sweep)))
+        open_, served = (np.bincount(k, weights=t, minlength=len(c_word)) + one for k, one in zip((before, now), once.reshape(2, -1), strict=True))
+        cuts = np.array(block.column("cuts")[0].as_py()).reshape(-1, 3).tolist()
+        return _table("part block n", [pa.int32(), pa.int64(), pa.binary()], [(part, at, _pack(np.concatenate([open_[lo:hi], served[lo:hi]]), "<u8")) for part, lo, hi in cuts])
+
+    told = values.select("block", "part", "kind", "values").repartition(tasks, "block")
+    return state.repartition(tasks, "block").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(draw, SUMS)
 
-    mine = met.filter("kind < 2").select("block", "part", "kind", "values")
-    dealt = cut.select("block", "n_tokens", "places", "words").groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(draw, SLICE)
-    return dealt.groupBy("part").applyInArrow(add, MET)
 
+#: Kinds of numbers for a block's slice of words: tables in each word's restaurant, log10 of the word restaurant's
+#: probability; and, for a part, its words with the customers that they have in the word restaurant.
+OPEN, LOG_P, CUSTOMERS = 3, 5, 4
 
-def _known(batch: pa.RecordBatch, seatings: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
+
+def add_up(sums: DataFrame, met: DataFrame, parts: int) -> DataFrame:
+    """Sums over blocks: rows of ``OPEN`` for each block's slice, and of ``CUSTOMERS`` for each part."""
+
+    def add(slices: pa.Table, places: pa.Table) -> pa.Table:
+        part, at = places.column("part")[0].as_py(), _places(places)
+        n = {b: _unpack(x.as_py(), "<u8").astype(np.float64).reshape(2, -1) for b, x in zip(slices.column("block").to_pylist(), slices.column("n"), strict=True)}
+        size = 1 + max(int(k.max()) for k in at.values())
+        both = np.zeros((2, size))
+        for block, k in at.items():
+            for row, own in zip(both, n[block], strict=True):
+                row += np.bincount(k, weights=own, minlength=size)
+        rows = [(block, part, OPEN, both[0][k].astype("<f4").tobytes()) for block, k in at.items()]
+        return _table("block part kind values", VALUE_KINDS, [*rows, (None, part, CUSTOMERS, _pack(both[1], "<u8"))])
+
+    return sums.repartition(2 * parts, "part").groupBy("part").cogroup(_word_rows(met, parts).groupBy("part")).applyInArrow(add, VALUES)
+
+
+def _word_rows(met: DataFrame, parts: int) -> DataFrame:
+    """The slices' places among the parts' words, and the words."""
+    return met.filter("kind IN (0, 2)").select("part", "block", "kind", "words").repartition(2 * parts, "part")
+
+
+def _places(rows: pa.Table) -> dict[int, np.ndarray]:
+    return {b: _unpack(w.as_py()) for b, kind, w in zip(rows.column("block").to_pylist(), rows.column("kind").to_pylist(), rows.column("words"), strict=True) if kind == 0}
+
+
+def known_words(met: DataFrame, customers: DataFrame) -> DataFrame:
+    """(words, values) of each part: its words and their customers."""
+    words = met.filter("kind = 2").select("part", "words")
+    return words.join(customers.filter(F.col("kind") == CUSTOMERS).select("part", "values"), "part").select("words", "values")
+
+
+def spread_words(customers: DataFrame, met: DataFrame, model: WordModel, parts: int) -> DataFrame:
+    """Rows of ``LOG_P`` for each block's slice of words: log10 of the word restaurant's predictive probability."""
+    shared = met.sparkSession.sparkContext.broadcast(model)
+
+    def spread(counted: pa.Table, places: pa.Table) -> pa.Table:
+        model, part = shared.value, places.column("part")[0].as_py()
+        words = next(_unpack_words(w.as_py()) for kind, w in zip(places.column("kind").to_pylist(), places.column("words"), strict=True) if kind == 2)
+        c = _unpack(counted.column("values")[0].as_py(), "<u8").astype(np.float64)
+        p = np.concatenate([model.log10(words[lo : lo + CHUNK], c[lo : lo + CHUNK]) for lo in range(0, len(words), CHUNK)]).astype("<f4")
+        return _table("block part kind values", VALUE_KINDS, [(block, part, LOG_P, p[k].tobytes()) for block, k in _places(places).items()])
+
+    mine = customers.filter(F.col("kind") == CUSTOMERS).select("part", "values").repartition(2 * parts, "part")
+    return mine.groupBy("part").cogroup(_word_rows(met, parts).groupBy("part")).applyInArrow(spread, VALUES)
+
+
+def _known(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], np.ndarray]]:
     """(words, customers) of a part's words that training has, some at a time."""
     for row in range(batch.num_rows):
         words, c = _unpack_words(batch.column(0)[row].as_py()), _unpack(batch.column(1)[row].as_py(), "<u8").astype(np.float64)
-        c = np.where(c > 0, np.maximum(np.rint(c / seatings), 1), 0)
         for lo in range(0, len(words), CHUNK):
             some = np.flatnonzero(c[lo : lo + CHUNK]) + lo
             if len(some):
                 yield [words[i] for i in some], c[some]
 
 
-def spelled_mass(words: DataFrame, spelling: Spelling, seatings: int) -> float:
+def spelled_mass(words: DataFrame, spelling: Spelling) -> float:
     """The probability that the spelling model gives to all the words together."""
     shared = words.sparkSession.sparkContext.broadcast(spelling)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = sum(float(np.power(10.0, shared.value.score(w)).sum()) for b in batches for w, _ in _known(b, seatings))
+        total = sum(float(np.power(10.0, shared.value.score(w)).sum()) for b in batches for w, _ in _known(b))
         yield pa.RecordBatch.from_arrays([pa.array([float(total)], pa.float64())], names=["p"])
 
     return float(words.mapInArrow(add, "p double").agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0])
@@ -480,7 +559,7 @@ def spelled_mass(words: DataFrame, spelling: Spelling, seatings: int) -> float:
 BESIDE = (-1, -2, -3, -4, -5)
 
 
-def spelling_counts(words: DataFrame, model: WordModel | None, seatings: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
+def spelling_counts(words: DataFrame, model: WordModel | None) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """Trigram counts over the words' tables, and ``BESIDE``. Without a model each word has one table."""
     shared = words.sparkSession.sparkContext.broadcast(model)
 
@@ -488,7 +567,7 @@ def spelling_counts(words: DataFrame, model: WordModel | None, seatings: int) ->
         keys, weights, beside = [np.zeros(0, np.int64)], [np.zeros(0)], np.zeros(len(BESIDE))
         held = 0
         model = shared.value
-        for spelled, c in (chunk for batch in batches for chunk in _known(batch, seatings)):
+        for spelled, c in (chunk for batch in batches for chunk in _known(batch)):
             t = np.ones(len(c)) if model is None else model.drawn(spelled, c)
             beside += [t.sum(), len(c), c.sum(), (c == 1).sum(), (c == 2).sum()]
             before, last, now, starts = _trigrams(spelled)
@@ -527,7 +606,7 @@ def _totals(met: DataFrame) -> tuple[int, int, int, int]:
     return tuple(map(int, summed))
 
 
-def score(docs: DataFrame, divisor: int = 7, remainder: int = 2, sweeps: int = 2, strength: float = 1.0, seatings: int = 4) -> DataFrame:
+def score(docs: DataFrame, divisor: int = 7, remainder: int = 2, burn_in: int = 1, samples: int = 3, strength: float = 1.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity, spelled_score for every document.
 
     Learns from the documents whose doc_id's CRC-32 does not have that remainder, and scores all, whole. A token is a word in
@@ -539,56 +618,60 @@ def score(docs: DataFrame, divisor: int = 7, remainder: int = 2, sweeps: int = 2
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
     parts = max(8, -(-int(size) // PART_BYTES))
     cut = materialise(blocks(docs, divisor, remainder), "blocks")
+    tasks = max(1, 2 * cut.count())  # twice as many as there are blocks, so that few meet in a task
     met = materialise(meet(cut, parts), "met")
     tokens, words, ones, twos = _totals(met)
-    contexts = Contexts(tokens, words, discount_of(ones, twos), strength, seatings)
-    seated = materialise(seat_contexts(cut, met, contexts, parts), "seated")
-    known = seated.filter("kind = 4").select("words", "values")
-    keys, counts, (open_, _, customers, alone, two) = spelling_counts(known, None, seatings)
-    discount = discount_of(alone, two)
-    for sweep in range(sweeps + 1):
+    contexts = Contexts(tokens, words, discount_of(ones, twos), strength)
+    state = materialise(states(cut, met, parts, tasks), "states")
+    model, values, kept, models = None, spark.createDataFrame([], VALUES), None, []
+    for sweep in range(burn_in + samples):
+        sums = draw_contexts(state, values, contexts, sweep, tasks)
+        added = materialise(add_up(sums, met, parts), "added")
+        known = known_words(met, added)
+        keys, counts, (open_, _, customers, alone, two) = spelling_counts(known, model)
+        discount = discount_of(alone, two)
         spelling = sample_spelling(keys, counts, seed=7 + sweep)
         model = WordModel(int(customers), words, open_, discount, strength, spelling)
-        if sweep < sweeps:
-            keys, counts, (open_, *_) = spelling_counts(known, model, seatings)
-    model.spelled = spelled_mass(known, model.spelling, seatings)
-    shared = spark.sparkContext.broadcast(model)
+        values = materialise(added.filter(F.col("kind") == OPEN).unionByName(spread_words(added, met, model, parts)), "values")
+        if sweep >= burn_in:
+            model.spelled = spelled_mass(known, spelling)
+            models.append(model.log10_unknown())
+            own = values.withColumn("kind", F.col("kind") + 10 * len(models))
+            kept = own if kept is None else kept.unionByName(own)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double, spelled_score double"
 
     def finish(block: pa.Table, found: pa.Table) -> pa.Table:
-        model = shared.value
         spelled, lengths = _unpack_words(block.column("words")[0].as_py()), np.array(block.column("n_tokens")[0].as_py())
         places = _unpack(block.column("places")[0].as_py())
         c_word = _counted(found, 0)[0]
-        sums = [_unpack(x, "<u8").astype(np.float64).reshape(2, -1) for x in _values(found, 3)]
-        open_, served = np.concatenate(sums, axis=1) / contexts.seatings
-        customers = np.where(served > 0, np.maximum(np.rint(served), 1), 0)
-        own = np.concatenate([model.log10(spelled[lo : lo + CHUNK], customers[lo : lo + CHUNK]) for lo in range(0, len(spelled), CHUNK)])
-        closed = np.where(c_word > 0, own, model.log10_unknown())
         base = np.log10((c_word + 1) / (contexts.tokens + contexts.words + 1))
         pairs = block_pairs(places, lengths, spelled)
         c = _counted(found, 1)[0]
-        t = contexts.seat(pairs.keys, c, c_word[pairs.before], c_word[pairs.now]) / contexts.seatings
-        seen = c - contexts.discount * t
-        pull = contexts.strength + contexts.discount * open_[pairs.before]
-        room = contexts.strength + c_word[pairs.before]
+        c_before = c_word[pairs.before].astype(np.float64)
+        # Averages of probabilities as multiples of the first sweep's word probabilities: spellings may be below all numbers.
+        total, spelled_out, scale = np.zeros(len(c)), np.zeros(len(c)), None
+        for k, log10_unknown in enumerate(models, 1):
+            own, open_ = _floats(found, LOG_P + 10 * k), _floats(found, OPEN + 10 * k)[pairs.before]
+            closed = np.where(c_word > 0, own, log10_unknown)
+            new = (c_word == 0)[pairs.now]
+            p = contexts.predictive(c, c_before, open_, np.power(10.0, np.maximum(closed, -300))[pairs.now])
+            total += p / len(models)
+            # An unknown word has no pair: what it is spelled by is weighed alone.
+            log = np.where(new, np.log10(contexts.pull(open_, 1.0) / (contexts.strength + c_before)) + own[pairs.now], np.log10(p))
+            scale = log if scale is None else scale
+            spelled_out += np.power(10.0, log - scale) / len(models)
+        full, spelled_p = np.log10(total), np.log10(spelled_out) + scale
         starts = np.cumsum(lengths) - lengths
 
         def add(of_tokens: np.ndarray) -> np.ndarray:
             return np.add.reduceat(of_tokens, starts)
 
-        def followed(of_words: np.ndarray) -> np.ndarray:
-            """log10 of seen + pull * word's probability; in logarithms where the pair was not seen."""
-            log = np.log10(pull) + of_words[pairs.now]
-            log = np.where(c > 0, np.log10(np.maximum(seen, 0) + np.power(10.0, np.maximum(log, -300))), log)
-            return add((log - np.log10(room))[pairs.each])
-
-        n_known, plain = add((c_word > 0)[places].astype(np.int64)), add(base[places])
-        full, spelled_out = followed(closed), followed(own)
-        perplexity = np.power(10.0, np.minimum(-full / lengths, 300))
+        scored = add(full[pairs.each])
+        perplexity = np.power(10.0, np.minimum(-scored / lengths, 300))
         columns = [pa.array(block.column(name)[0].as_py(), kind) for name, kind in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()))]
-        columns += [pa.array(n_known), pa.array([contexts.tokens] * len(lengths), pa.int64()), pa.array(plain), pa.array(full), pa.array(perplexity), pa.array(spelled_out)]
+        columns += [pa.array(add((c_word > 0)[places].astype(np.int64))), pa.array([contexts.tokens] * len(lengths), pa.int64()), pa.array(add(base[places])), pa.array(scored), pa.array(perplexity), pa.array(add(spelled_p[pairs.each]))]
         return pa.table(columns, names=[f.split()[0] for f in schema.split(", ")])
 
-    found = met.filter("kind < 2").unionByName(seated.filter("kind = 3")).select("block", "part", "kind", "values")
-    return cut.select("block", "doc_id", "held_out", "n_tokens", "places", "words").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(finish, schema)
+    told = met.filter("kind < 2").select("block", "part", "kind", "values").unionByName(kept)
+    found = told.repartition(tasks, "block")
+    return cut.select("block", "doc_id", "held_out", "n_tokens", "places", "words").repartition(tasks, "block").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(finish, schema)
