@@ -12,6 +12,16 @@ def rows_of(spark, texts):
     return shaping.requests_of(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "query_id long, request string"))
 
 
+def test_bins_keep_every_row(spark):
+    rows = spark.createDataFrame([(0, '{"w": 3}'), (0, '{"w": 1}'), (None, '{"w": 5}'), (0, '{"w": 3}')], "query_id long, request string")
+    made = shaping.with_bins(shaping.weight_numeric(shaping.requests_of(rows), "w"), 2)
+    assert sorted(r.request for r in made.collect()) == sorted(['{"w": 3}', '{"w": 1}', '{"w": 5}', '{"w": 3}'])
+    many = spark.range(1000).selectExpr("id AS query_id", "concat('{\"w\": ', id % 7, '}') AS request")
+    weighed = shaping.weight_numeric(shaping.requests_of(many), "w")
+    sums = [r[1] for r in shaping.with_bins(weighed, 4, group=100).groupBy("bin").sum("query_weight_estimate").collect()]
+    assert len(sums) == 4 and max(sums) - min(sums) < 40
+
+
 def test_grid_search(spark):
     texts = [json.dumps(x) for x in ({"a": 1, "grid_search": {"bar": ["a", "b", "c"], "foo": [1.2, 3.4], "skip": 7}}, {"a": 2}, {"grid_search": {"x": [{"p": 1, "q": 2}, {"p": 3}]}}, {"grid_search": {"x": [{"grid_search": {}}]}})]
     got = shaping.grid_search(rows_of(spark, [*texts, "{bad"])).orderBy("query_id", "combo_idx").collect()

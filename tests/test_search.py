@@ -13,7 +13,7 @@ from wayfold.operators.labels import SocBins
 from wayfold.operators.models import Custom, Distance, Speed, Time, TurnDelay
 from wayfold.plans import ksp
 from wayfold.plans.paths import backtrack, edge_lists, has_loop, routes
-from wayfold.plans.search import Limits, SearchError, Setup, relax, search
+from wayfold.plans.search import Limits, SearchError, Setup, answered, relax, search
 
 
 def found(tree, asked):
@@ -143,6 +143,106 @@ def test_turn_delays_change_the_way(spark):
         assert edges == [2, 3] and minutes == pytest.approx(2.2)
 
 
+def dijkstra_by_edges(rows, headings, delays, start, forbidden=()):
+    """Least minutes to each vertex where the delay of a turn depends on the edge before: a label for each edge."""
+    best, queue, done = {}, [(0.0, -1, start)], {start: 0.0}
+    while queue:
+        g, before, v = heapq.heappop(queue)
+        if best.get(before, 1e18) < g:
+            continue
+        for i, (s, d, k) in enumerate(rows):
+            if s != v or (before, i) in forbidden:
+                continue
+            cost = k
+            if before >= 0:
+                angle = headings[i] - headings[before]
+                angle = angle - 360 if angle > 180 else angle + 360 if angle < -180 else angle
+                side, size = ("left" if angle < 0 else "right"), abs(angle)
+                turn = "no_turn" if size <= 19 else f"slight_{side}" if size <= 44 else side if size <= 134 else f"sharp_{side}" if size <= 159 else "u_turn"
+                cost += delays[turn] / 60
+            if g + cost < best.get(i, 1e18) - 1e-12:
+                best[i] = g + cost
+                done[d] = min(done.get(d, 1e18), g + cost)
+                heapq.heappush(queue, (g + cost, i, d))
+    return done
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_turns_against_a_search_by_edges(spark, seed):
+    r = random.Random(seed)
+    rows = random_rows(seed, 10, 40)
+    headings = [r.randrange(360) for _ in rows]
+    delays = {k: float(r.randrange(0, 400)) for k in ("no_turn", "slight_left", "slight_right", "left", "right", "sharp_left", "sharp_right", "u_turn")}
+    n = network(spark, rows, more=[(60.0,)] * len(rows))
+    e = n.edges.join(spark.createDataFrame(list(enumerate(headings)), "edge_id long, arrival_heading int"), "edge_id").withColumn("departure_heading", F.col("arrival_heading"))
+    forbidden = {(i, j) for i, (_, d, _) in enumerate(rows) for j, (s, _, _) in enumerate(rows) if d == s and r.random() < 0.2}
+    pairs = spark.createDataFrame(sorted(forbidden), "prev_edge_id long, next_edge_id long")
+    setup = Setup([Distance(), Speed(), Time(), TurnDelay(delays)], CostModel({"trip_time": 1.0}, {"trip_time": Rate()}), constraint=constraints.TurnRestriction(pairs))
+    asked = requests(spark, [(0, None), (3, None)])
+    tree = search(Network(n.vertices, e), asked, setup)
+    got = {}
+    for row in tree.collect():
+        got[row.query_id, row.vertex_id] = min(got.get((row.query_id, row.vertex_id), 1e18), row.g)
+        assert row.state.trip_time == pytest.approx(row.g, abs=1e-6)
+    for q, start in ((0, 0), (1, 3)):
+        want = dijkstra_by_edges(rows, headings, delays, start, forbidden)
+        assert {v: round(g, 6) for (k, v), g in got.items() if k == q} == {v: round(g, 6) for v, g in want.items()}
+    goals = requests(spark, [(0, v) for v in range(10)])
+    way = edge_lists(routes(search(Network(n.vertices, e), goals, setup), goals))
+    assert {row.query_id: round(row.objective_cost, 6) for row in way.collect()} == {v: round(g, 6) for v, g in dijkstra_by_edges(rows, headings, delays, 0, forbidden).items() if v != 0}
+
+
+def test_requests_with_weights_of_their_own_equal_single_runs(spark):
+    rows = random_rows(7, 9, 30)
+    n = network(spark, rows, more=[(20.0 + 10 * (i % 7),) for i in range(len(rows))])
+    models, rates = lambda: [Distance(), Speed(), Time()], {"trip_distance": Rate(), "trip_time": Rate("time", 2.0, "minutes")}
+    given = [{"trip_distance": 1.0}, {"trip_time": 1.0}, {"trip_distance": 3.0, "trip_time": 0.25}, {"trip_distance": 0.0, "trip_time": 2.0}]
+    asked = requests(spark, [(0, None)] * 4)
+    batch = asked.join(spark.createDataFrame([(i, w) for i, w in enumerate(given)], "query_id long, weights map<string,double>"), "query_id")
+    tree = relax(n, batch, Setup(models(), CostModel({}, rates, own_weights=True))).collect()
+    for i, w in enumerate(given):
+        alone = relax(n, requests(spark, [(0, None)]), Setup(models(), CostModel(w, rates))).collect()
+        strip = lambda rows, q: {r.vertex_id: (round(r.g, 9), r.edge_id, round(r.total_cost, 9), r.depth, round(r.state.trip_time, 9)) for r in rows if r.query_id == q}
+        assert strip(tree, i) == strip(alone, 0)
+
+
+def test_early_ends_are_errors_of_their_requests(spark):
+    n = network(spark, [(i, i + 1, 1) for i in range(20)])
+    asked = requests(spark, [(0, 2), (0, 20), (5, None)])
+    for engine in ("relax", "kernel"):
+        tree, errors = answered(n, asked, kilometres(limits=Limits(rounds=6)), engine)
+        assert [(r.query_id, r.error.split(":")[0]) for r in errors.collect()] == [(1, "search ended early")]
+        got = found(tree, asked)
+        assert got[0] == ([0, 1], 2) and 1 not in got
+    tree, errors = answered(n, asked, kilometres(limits=Limits(labels=4)))
+    assert {r.query_id for r in errors.collect()} == {1} and found(tree, asked)[0] == ([0, 1], 2)
+    settled = search(n, requests(spark, [(0, None)]), kilometres(limits=Limits(rounds=10)), "kernel").count()
+    assert settled == 11
+    assert Limits.of({"type": "memory", "limit": 1}).labels == 8192
+
+
+def test_a_heuristic_changes_no_answer(spark):
+    r = random.Random(3)
+    places = [(r.random() / 10, r.random() / 10) for _ in range(14)]
+    rows = [(s, d, 40.0 + k) for s, d, k in random_rows(3)]
+    n, asked = network(spark, rows, places), requests(spark, [(0, d) for d in range(1, 14)])
+    assert found(search(n, asked, kilometres(heuristic=True)), asked) == found(search(n, asked, kilometres()), asked)
+
+
+def test_long_routes_by_pointer_doubling(spark):
+    n = network(spark, [(i, i + 1, 1) for i in range(37)] + [(0, 37, 100)])
+    asked = requests(spark, [(0, 37), (3, 30), (5, 5)])
+    assert found(search(n, asked, kilometres()), asked) == {0: (list(range(37)), 37), 1: (list(range(3, 30)), 27)}
+
+
+def test_steps_of_no_length_make_no_circle(spark):
+    rows = [(0, 1, 1000.0), (1, 2, 0.0), (2, 1, 0.0), (2, 3, 0.0), (3, 1, 0.0), (0, 3, 1000.0)]
+    asked = requests(spark, [(0, None), (0, 2)])
+    tree = relax(network(spark, rows), asked, kilometres())
+    assert {r.vertex_id for r in tree.collect() if r.query_id == 0} == {0, 1, 2, 3}
+    assert found(tree, asked)[1][1] == 1000
+
+
 def test_labels_keep_apart_what_differs():
     assert [SocBins([10.0, 50.0, 100.0]).bin({"trip_soc": s}) for s in (0.05, 0.1, 0.3, 0.9, 1.2)] == [0, 0, 1, 2, 2]
 
@@ -194,6 +294,26 @@ def test_yens_goes_on_until_k_routes_are_not_alike(spark):
     assert [[e.edge_id for e in r.edges] for r in got] == [[0, 1, 2, 3], [6, 7]] and [r.cost for r in got] == [4, 8]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_single_via_against_enumeration(spark, seed):
+    rows = random_rows(seed, 8, 26)
+    asked = [(0, 7), (2, 5)]
+    alike = ksp.Similarity("edge_id_cosine", 0.6)
+    got = ksp.single_via(network(spark, rows), requests(spark, asked), kilometres(), k=3, similarity=alike, candidates=2).collect()
+    for q, (o, d) in enumerate(asked):
+        # Routes by way of each vertex: the cheapest way there (ties by edge ids) and on, without a loop.
+        ahead, back = dijkstra(rows, o), dijkstra([(b, a, k) for a, b, k in rows], d)
+        whole = {v: ahead[v] + back[v] for v in ahead if v in back}
+        mine = sorted((r.route_idx, r.cost, [e.edge_id for e in r.edges]) for r in got if r.query_id == q)
+        paths = {tuple(e): c for c, e in simple_paths(rows, o, d)}
+        assert not whole or mine[0][1] == min(whole.values())
+        for _, c, edges in mine:
+            assert paths[tuple(edges)] == c and c in whole.values()
+        for i, a in enumerate(mine):
+            for b in mine[:i]:
+                assert len(set(a[2]) & set(b[2])) / (len(a[2]) * len(b[2])) ** 0.5 < 0.6
+
+
 def test_similarity_and_equality(spark):
     route = lambda ids: spark.createDataFrame([(0, 0, i, float(i + 1)) for i in ids], "query_id long, edge_list_id int, edge_id long, distance_m double")
     got = lambda a, b, w=False: ksp.cosine(route(a), route(b), ["query_id"], w).first().similarity

@@ -64,6 +64,12 @@ def line_wkb(points: pd.Series) -> pd.Series:
     return points.map(lambda ps: None if ps is None else struct.pack("<BII", 1, 2, len(ps)) + b"".join(struct.pack("<dd", p["x"], p["y"]) for p in ps))
 
 
+def multiline_hex(lines: Column) -> Column:
+    """Little-endian WKB of a MULTILINESTRING from an array of its lines' WKB, both as hexadecimal text."""
+    n = F.lpad(F.hex(F.size(lines)), 8, "0")
+    return F.concat(F.lit("0105000000"), *(F.substring(n, at, 2) for at in (7, 5, 3, 1)), F.array_join(lines, ""))
+
+
 @F.pandas_udf(LINE_TYPE)
 def points_of_wkb(wkb: pd.Series) -> pd.Series:
     """The points of a WKB LINESTRING of either byte order; null if the bytes are none."""

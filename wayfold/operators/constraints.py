@@ -20,9 +20,10 @@ class ConstraintError(ValueError):
 
 
 class Constraint:
-    """``history`` is true if ``allows`` looks at the edge before or at clamped state."""
+    """``history`` is true if ``allows`` looks at the edge before or at the state; ``by_edge`` then says that the edge before is
+    all that it looks at."""
 
-    history = False
+    history = by_edge = False
 
     def prefilter(self, edges: DataFrame) -> DataFrame:
         return edges
@@ -112,7 +113,7 @@ class TurnRestriction(Constraint):
     """Forbidden pairs of edges (prev_edge_id, next_edge_id); a trip's first edge is always allowed."""
 
     pairs: DataFrame = None
-    history = True
+    history = by_edge = True
 
     def kernel_pairs(self, most: int = 5_000_000) -> set[tuple[int, int]]:
         """The pairs for a kernel's memory; too many are an error."""

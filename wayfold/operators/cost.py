@@ -51,12 +51,31 @@ class Rate:
 
 @dataclass
 class CostModel:
-    """``network`` maps a feature to the edge columns whose values are added to its cost (absent ones count 0)."""
+    """``network`` maps a feature to the edge columns whose values are added to its cost (absent ones count 0).
+
+    ``own_weights``: each request has weights of its own, in a column ``weights`` (map of feature to weight); the weights here
+    then only name the features that there may be.
+    """
 
     weights: dict[str, float]
     rates: dict[str, Rate]
     network: dict[str, list[str]] = field(default_factory=dict)
     ignore_unknown: bool = False
+    own_weights: bool = False
+
+    def for_requests(self, features: list[Feature]) -> CostModel:
+        """The model for requests with weights of their own: every feature with a rate or a network cost may be weighted."""
+        names = [f.name for f in features if f.name in self.rates or f.name in self.network]
+        return CostModel(dict.fromkeys(names, 1.0), self.rates, self.network, self.ignore_unknown, True)
+
+    def weights_error(self, weights: Column, features: list[Feature]) -> Column:
+        """What is wrong with a request's weights (a map column), or null."""
+        known = F.array(*[F.lit(f.name) for f in features])
+        unknown = F.lit(None).cast("string") if self.ignore_unknown else F.when(F.size(F.array_except(F.map_keys(weights), known)) > 0, F.concat(F.lit("weights for unknown features "), F.array_join(F.array_sort(F.array_except(F.map_keys(weights), known)), ", ")))
+        negative = F.when(F.exists(F.map_values(weights), lambda w: w < 0), F.lit("a weight is negative"))
+        free = [k for k in [*self.rates, *self.network] if k in self.network or (self.rates[k].kind != "zero" and self.rates[k].factor)]
+        usable = F.exists(F.map_entries(weights), lambda e: e["key"].isin(free) & (e["value"] > 0)) if free else F.lit(False)
+        return F.coalesce(unknown, negative, F.when(~usable, F.lit("all costs are zero: give a weight and a rate to some feature")))
 
     def checked(self, features: list[Feature]) -> CostModel:
         """Weights that fit the features; unknown ones are an error or ignored, features without a rate are left out."""
@@ -69,7 +88,7 @@ class CostModel:
         used = {k: w for k, w in self.weights.items() if k in known and (k in self.rates or k in self.network)}
         if not any(w * (self.rates.get(k, Rate()).factor if self.rates.get(k, Rate()).kind != "zero" or k in self.network else 0) for k, w in used.items()):
             raise CostError("all costs are zero: give a weight and a rate to some feature")
-        return CostModel(used, {k: self.rates.get(k, Rate("zero")) for k in used}, self.network, self.ignore_unknown)
+        return CostModel(used, {k: self.rates.get(k, Rate("zero")) for k in used}, self.network, self.ignore_unknown, self.own_weights)
 
     def merged(self, weights: dict | None, rates: dict | None) -> CostModel:
         """A request's weights and rates before the configured ones, key by key."""
@@ -95,7 +114,11 @@ class CostModel:
         """(objective, total)."""
         objective = total = None
         for name, cost in self.parts(o, features, before, after, edge).items():
-            objective = cost * self.weights[name] if objective is None else objective + cost * self.weights[name]
+            weight = self.weights[name]
+            if self.own_weights:  # a feature that a request does not weigh costs it nothing
+                weight = F.try_element_at(F.col("weights"), F.lit(name))
+                weight, cost = F.coalesce(weight, F.lit(0.0)), F.when(weight.isNull(), F.lit(0.0)).otherwise(cost)
+            objective = cost * weight if objective is None else objective + cost * weight
             total = cost if total is None else total + cost
         return objective, total
 

@@ -42,6 +42,14 @@ class Prediction:
         """Samples a function over the grid: how a regressor is replaced by a table."""
         return cls(inputs, axes, [float(f(*x)) for x in itertools.product(*(linspace(*a) for a in axes))], rate_unit, real_world)
 
+    @classmethod
+    def of_forest(cls, forest, inputs, axes, rate_unit, real_world=1.0) -> Prediction:
+        """The grid of a fitted forest (see ``fitted_forest``), whose features are the inputs in their units, in order."""
+        spark, names = forest.sparkSession, list(forest.featureNames)
+        points = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(itertools.product(*(linspace(*a) for a in axes)))], ", ".join(["at int", *(f"`{n}` double" for n in names)]))
+        values = [r["prediction"] for r in of_forest(forest, points, names).orderBy("at").collect()]  # as many as the grid has points
+        return cls(inputs, axes, values, rate_unit, real_world)
+
     def energy(self, o, state: dict, rate=None):
         """Energy over the edge's distance, in the state's unit; at ``rate`` instead of the predicted one if given."""
         energy_unit, distance_unit = units.RATES[self.rate_unit]
@@ -52,6 +60,29 @@ class Prediction:
         return units.convert(rate * distance, "energy", energy_unit, "gallons_gasoline_equivalent")
 
 
+class Forest:
+    """A fitted random forest and the columns that it looks at."""
+
+    def __init__(self, model, names: list[str], spark):
+        self.model, self.featureNames, self.sparkSession = model, names, spark
+
+
+def fitted_forest(rows, features: list[str], rate: str, trees: int = 20, depth: int = 8, seed: int = 42) -> Forest:
+    """A random forest that predicts ``rate`` from the columns ``features``, fitted on the cluster."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    vectors = VectorAssembler(inputCols=features, outputCol="__features").transform(rows)
+    return Forest(RandomForestRegressor(featuresCol="__features", labelCol=rate, numTrees=trees, maxDepth=depth, seed=seed).fit(vectors), features, rows.sparkSession)
+
+
+def of_forest(forest: Forest, rows, features: list[str]):
+    """The rows with the forest's ``prediction``."""
+    from pyspark.ml.feature import VectorAssembler
+
+    return forest.model.transform(VectorAssembler(inputCols=features, outputCol="__features").transform(rows)).drop("__features")
+
+
 def best_rate_sql() -> str:
     """Samples for the best-case rate search: speed 1 to 100 mph, grade -20 to 0 percent by 0.2, temperature 0 to 110 °F by 10."""
     return "SELECT v AS speed, -0.2 * g AS grade, 10.0 * t AS temperature FROM (SELECT explode(sequence(1, 100)) AS v) LATERAL VIEW explode(sequence(0, 100)) AS g LATERAL VIEW explode(sequence(0, 11)) AS t"

@@ -7,7 +7,7 @@ relational search and number by number in the kernel search. The state has each
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import functions as F
@@ -78,15 +78,17 @@ class Feature:
     accumulator: bool = False
     initial: float = 0.0
     output_unit: str | None = None
+    least: bool = False  # an accumulator that keeps its least value instead of a sum
 
 
 class TraversalModel:
     """``traverse`` returns the new values of ``outputs``. ``edge`` has the edge's columns, ``state`` the values so far, ``q``
-    the request's parameters. ``history`` is true if the result depends on more than the edge and additive state."""
+    the request's parameters. ``history`` is true if the result depends on more than the edge and state that adds up;
+    ``by_edge`` then says that the edge before is all that it depends on."""
 
     inputs: list[str] = []
     outputs: list[Feature] = []
-    history = False
+    history = by_edge = False
 
     def traverse(self, o, edge: dict, state: dict, q: dict) -> dict:
         raise NotImplementedError
@@ -240,7 +242,7 @@ class TurnDelay(TraversalModel):
 
     seconds: dict[str, float] = field(default_factory=dict)
     inputs: list = field(default_factory=lambda: ["edge_time", "trip_time"])
-    history = True
+    history = by_edge = True
 
     def __post_init__(self):
         missing = {"no_turn", "slight_left", "slight_right", "left", "right", "sharp_left", "sharp_right", "u_turn"} - set(self.seconds)
@@ -267,7 +269,7 @@ class Custom(TraversalModel):
     initial: float = 0.0
 
     def __post_init__(self):
-        self.outputs = [Feature(self.name, "custom", self.accumulator, self.initial)]
+        self.outputs = [Feature(self.name, "custom", self.accumulator, self.initial, least=self.boolean)]
 
     def traverse(self, o, edge, state, q):
         value = edge[self.column]
@@ -313,7 +315,7 @@ def features_of(models: list[TraversalModel], overrides: dict[str, float] | None
         if isinstance(value, bool) or not isinstance(value, (int, float)):
             raise ModelError(f"state feature '{name}' needs a number")
         f = found[name]
-        found[name] = Feature(f.name, f.kind, f.accumulator, float(value), f.output_unit)
+        found[name] = replace(f, initial=float(value))
     return [found[k] for k in sorted(found)]
 
 

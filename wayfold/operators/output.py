@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions import units
-from wayfold.functions.geo import line_wkb, line_wkt, multiline_wkt
+from wayfold.functions.geo import line_wkb, line_wkt, multiline_hex, multiline_wkt
 from wayfold.operators.graph import KEY
 from wayfold.operators.models import Feature
 
@@ -87,7 +87,7 @@ def route_output(routes: DataFrame, form: str, features: list[Feature], lines: D
 
 
 def tree_output(tree: DataFrame, form: str, features: list[Feature], lines: DataFrame | None = None) -> DataFrame:
-    """query_id, tree: wkt, wkb (of the lines one by one), json, geo_json, edge_id or multipoint of all edges of each tree."""
+    """query_id, tree: wkt, wkb (one multi-line each, in hexadecimal), json, geo_json, edge_id or multipoint of all edges of each tree."""
     rows = tree.filter("edge_id IS NOT NULL").withColumn("pos", F.struct("g", "vertex_id", "bin"))
     if form == "edge_id":
         return rows.groupBy("query_id").agg(F.to_json(_in_order(F.struct("edge_list_id", "edge_id"))).alias("tree"))
@@ -100,7 +100,7 @@ def tree_output(tree: DataFrame, form: str, features: list[Feature], lines: Data
     if form == "wkt":
         return rows.groupBy("query_id").agg(multiline_wkt(_in_order(F.col("line"))).alias("tree"))
     if form == "wkb":
-        return rows.groupBy("query_id").agg(F.to_json(_in_order(F.hex(line_wkb("line")))).alias("tree"))
+        return rows.groupBy("query_id").agg(multiline_hex(_in_order(F.hex(line_wkb("line")))).alias("tree"))
     if form == "multipoint":
         end = lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))
         return rows.groupBy("query_id").agg(F.concat(F.lit("MULTIPOINT ("), F.array_join(F.transform(_in_order(F.element_at("line", -1)), end), ", "), F.lit(")")).alias("tree"))
@@ -115,10 +115,11 @@ def by_cardinality(outputs: DataFrame, column: str = "route") -> DataFrame:
 
 
 def run_summary(tree: DataFrame, routes: DataFrame, requests: DataFrame) -> DataFrame:
-    """query_id, tree_size, route_edges, n_routes for every request. Run times are the caller's to add."""
-    t = tree.groupBy("query_id").agg(F.count("edge_id").alias("tree_size"))
+    """query_id, tree_size, route_edges, n_routes, iterations for every request: an iteration is a step of the search from one
+    label's ways to those of the next, so they are as many as the most edges of a way in its tree."""
+    t = tree.groupBy("query_id").agg(F.count("edge_id").alias("tree_size"), F.max("depth").cast("long").alias("iterations"))
     r = routes.groupBy("query_id").agg(F.count("*").alias("route_edges"), F.count_distinct("route_idx").alias("n_routes"))
-    return requests.select("query_id").join(t, "query_id", "left").join(r, "query_id", "left").na.fill(0, ["tree_size", "route_edges", "n_routes"])
+    return requests.select("query_id").join(t, "query_id", "left").join(r, "query_id", "left").na.fill(0, ["tree_size", "iterations", "route_edges", "n_routes"])
 
 
 def responses(requests: DataFrame, outputs: DataFrame | None = None) -> DataFrame:

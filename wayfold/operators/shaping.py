@@ -20,7 +20,7 @@ Plugin = Callable[[DataFrame], DataFrame]
 
 
 def requests_of(df: DataFrame) -> DataFrame:
-    """Adds ``query_id`` (a hash of place and text, if there is none) and ``error``."""
+    """Adds ``query_id`` (if there is none, a number that grows with the rows' places) and ``error``."""
     if "query_id" not in df.columns:
         df = df.withColumn("query_id", F.monotonically_increasing_id())
     return df if "error" in df.columns else df.withColumn("error", F.lit(None).cast("string"))
@@ -204,31 +204,49 @@ def balance(weights: list[float], bins: int) -> list[list[int]]:
     return made
 
 
-def with_bins(requests: DataFrame, bins: int, order: str = "query_id", weight: str = "query_weight_estimate", salt: Column | None = None) -> DataFrame:
-    """Adds ``bin``: the exact sequential assignment, within each value of ``salt`` (by default over all requests).
+def with_bins(requests: DataFrame, bins: int, order: str = "query_id", weight: str = "query_weight_estimate", group: int = 100_000) -> DataFrame:
+    """Adds ``bin``: requests go in turn, in the order of ``order`` and their text, to the lightest bin so far.
 
-    The fold needs its requests in one place; at scale give a salt, for which each group is balanced on its own.
+    The turns are taken within ranges of the order, of about ``group`` requests each, and each range starts with a bin of its
+    own as the first of equal ones: up to ``group`` requests that is the sequential assignment, beyond it the bins of each
+    range are balanced, and so are their sums. A missing weight counts 1. Every row keeps its bin, whatever repeats or is null.
     """
-    base = requests.withColumn("__salt", salt if salt is not None else F.lit(0)).withColumn("__weight", F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight in requests.columns else F.lit(1.0))
-    small = base.select("__salt", F.col(order).cast("long").alias("__order"), "__weight")
-
-    def assign(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("__order", kind="stable").reset_index(drop=True)
-        bin_of = {i: b for b, items in enumerate(balance(group["__weight"].tolist(), bins)) for i in items}
-        return pd.DataFrame({"__order": group["__order"], "bin": [bin_of[i] for i in range(len(group))]})
+    value = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight in requests.columns else F.lit(1.0)
+    ranges = max(1, -(-requests.count() // group))
+    tie = F.xxhash64(*[F.col(c).cast("string") for c in requests.columns])
+    keyed = requests.withColumn("__weight", value).withColumn("__tie", tie)
+    placed = keyed.repartition(1) if ranges == 1 else keyed.repartitionByRange(ranges, F.col(order), "__tie")
+    placed = placed.sortWithinPartitions(order, "__tie").withColumn("__range", F.spark_partition_id())
+
+    def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        heap: list[tuple[float, int]] = []
+        for part in parts:
+            made = []
+            for w, first in zip(part["__weight"], part["__range"], strict=True):
+                heap = heap or sorted((0.0, b, (b + int(first)) % bins) for b in range(bins))
+                total, turn, b = heapq.heappop(heap)
+                made.append(b)
+                heapq.heappush(heap, (total + w, turn, b))
+            yield part.drop(columns=["__weight", "__tie", "__range"]).assign(bin=pd.Series(made, index=part.index, dtype="int32"))
 
-    placed = small.groupBy("__salt").applyInPandas(assign, "__order long, bin int")
-    return requests.join(placed, F.col(order).cast("long") == F.col("__order")).drop("__order")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
+    return placed.mapInPandas(assign, f"{schema}, bin int")
 
 
 # -- plugins ----------------------------------------------------------------------------------------------------------------
 
 
-def run_plugins(requests: DataFrame, plugins: list[Plugin]) -> tuple[DataFrame, DataFrame]:
-    """(requests that may go on, responses of those with an error)."""
+def apply_plugins(requests: DataFrame, plugins: list[Plugin]) -> DataFrame:
+    """The requests after all plugins, those with an error among them."""
     now = requests_of(requests)
     for plugin in plugins:
         now = plugin(now)
+    return now
+
+
+def run_plugins(requests: DataFrame, plugins: list[Plugin]) -> tuple[DataFrame, DataFrame]:
+    """(requests that may go on, responses of those with an error)."""
+    now = apply_plugins(requests, plugins)
     failed = now.filter("error IS NOT NULL")
     return now.filter("error IS NULL"), failed.select("query_id", "request", "error")
 

@@ -152,8 +152,9 @@ def yens(network: Network, requests: DataFrame, setup: Setup, k: int = 3, simila
         last = accepted.filter(F.col("route_idx") == number - 1).join(lacking, "query_id", "left_semi")
         spurs = last.select("query_id", F.col("edges").alias("own"), F.posexplode("edges").alias("spur", "at")).select("query_id", "spur", F.col("at.from_vertex").alias("origin"), F.slice("own", F.lit(1), F.col("spur")).alias("root"))
         ids = lambda c: F.transform(c, lambda e: F.struct(e["edge_list_id"], e["edge_id"]))
-        spurs = spurs.join(asked.select("query_id", "destination"), "query_id").withColumn("spur_id", F.col("query_id") * 100_000 + F.col("spur"))
-        spurs = materialise(spurs, "spurs")
+        spurs = spurs.join(asked.select("query_id", "destination"), "query_id")
+        # A number for each spur: rows of a written table, so that it stays the same.
+        spurs = materialise(materialise(spurs, "spurs").withColumn("spur_id", F.monotonically_increasing_id()), "spurs")
         shared = spurs.join(accepted.select("query_id", F.col("edges").alias("other")), "query_id").filter(ids(F.slice("other", F.lit(1), F.col("spur"))) == ids("root"))
         cut_next = shared.filter(F.size("other") > F.col("spur")).select(F.col("spur_id").alias("query_id"), F.element_at("other", F.col("spur") + 1)["edge_list_id"].alias("edge_list_id"), F.element_at("other", F.col("spur") + 1)["edge_id"].alias("edge_id"))
         on_root = spurs.select("spur_id", F.explode("root").alias("e")).select(F.col("spur_id").alias("query_id"), F.col("e.from_vertex").alias("dst"))
@@ -176,13 +177,25 @@ def yens(network: Network, requests: DataFrame, setup: Setup, k: int = 3, simila
 
 
 def with_end_edges(rows: DataFrame, requests: DataFrame) -> DataFrame:
-    """Adds the origin and destination edges of edge-oriented requests around each route, at no cost.
+    """Adds the origin and destination edges of edge-oriented requests around each route, at no cost and in the state there.
 
-    ``requests``: query_id, origin_list, origin_edge, destination_list, destination_edge.
+    ``requests``: query_id, origin, destination, origin_list, origin_edge, destination_list, destination_edge; an edge is null
+    where that end is a vertex. A route of no edges between them is these edges alone; from an edge to itself there is nothing.
     """
-    span = rows.groupBy("query_id", "route_idx").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).join(requests, "query_id")
-    end = lambda side, pos: span.select("query_id", "route_idx", pos.alias("pos"), F.col(f"{side}_list").alias("edge_list_id"), F.col(f"{side}_edge").alias("edge_id"), F.lit(0.0).alias("objective_cost"), F.lit(0.0).alias("total_cost"))
-    return rows.select("query_id", "route_idx", "pos", "edge_list_id", "edge_id", "objective_cost", "total_cost").unionByName(end("origin", F.col("lo") - 1)).unionByName(end("destination", F.col("hi") + 1))
+    state = "state" in rows.columns
+    kept = ["query_id", "route_idx", "pos", "edge_list_id", "edge_id", "objective_cost", "total_cost", *(["state"] if state else [])]
+    span = rows.groupBy("query_id", "route_idx").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), *([F.min_by("state", "pos").alias("s_origin"), F.max_by("state", "pos").alias("s_destination")] if state else []))
+    itself = F.col("origin_edge").eqNullSafe(F.col("destination_edge")) & F.col("origin_list").eqNullSafe(F.col("destination_list"))
+    around = requests.filter(~itself).join(span, "query_id", "left").filter("lo IS NOT NULL OR origin = destination")
+    end = lambda side, pos: around.filter(F.col(f"{side}_edge").isNotNull()).select("query_id", F.coalesce("route_idx", F.lit(0)).alias("route_idx"), pos.cast("int").alias("pos"), F.coalesce(f"{side}_list", F.lit(0)).cast("int").alias("edge_list_id"), F.col(f"{side}_edge").alias("edge_id"), F.lit(0.0).alias("objective_cost"), F.lit(0.0).alias("total_cost"), *([F.col(f"s_{side}").alias("state")] if state else []))
+    return rows.select(*kept).unionByName(end("origin", F.coalesce(F.col("lo"), F.lit(0)) - 1)).unionByName(end("destination", F.coalesce(F.col("hi"), F.lit(-1)) + 1))
+
+
+def between_end_edges(found: DataFrame, requests: DataFrame) -> DataFrame:
+    """The same for alternative routes (query_id, route_idx, cost, edges as an array)."""
+    one = lambda side: F.when(F.col(f"{side}_edge").isNotNull(), F.array(F.struct(F.coalesce(f"{side}_list", F.lit(0)).cast("int").alias("edge_list_id"), F.col(f"{side}_edge").alias("edge_id"), F.lit(0.0).alias("distance_m")))).otherwise(F.array().cast("array<struct<edge_list_id:int,edge_id:bigint,distance_m:double>>"))
+    ends = requests.select("query_id", one("origin").alias("first"), one("destination").alias("last"))
+    return found.join(ends, "query_id").select("query_id", "route_idx", "cost", F.concat("first", "edges", "last").alias("edges"))
 
 
 def edge_oriented(network: Network, requests: DataFrame) -> DataFrame:

@@ -1,25 +1,27 @@
 """Searches: what is asked (``Setup``), and how it is answered.
 
-* ``relax``: one plan for all requests of a batch. In each round the frontier meets the edges, the models and costs are
-  Column expressions, and the best step for each (request, label) is kept. Rounds are written to the shared folder, so that
-  lineage stays short. It scales with the network and the batch.
-* ``kernel``: label-setting search for one request in a task, over arrays of the network that are broadcast if they are
-  below a bound. It settles labels in order of cost, which is what searches whose state depends on the path are defined by.
-
-``search`` takes the kernel where a model or constraint depends on the path's history, else the relational search.
+* ``relax``: one plan for all requests of a batch, each with weights of its own if it has a column of them. What a step costs
+  follows from its edge, and for turns from the edge before it; so a round joins the frontier with the edges and keeps the
+  least sum for each label, in numbers alone. Only labels that got better are written, and only they go on. When nothing gets
+  better, each label's last edge is the one that explains its cost, and depths and states are added up along the tree by
+  pointer doubling, in as many joins as the depth has binary digits.
+* ``kernel``: label-setting search for one request in a task, over arrays of the network that reach the task by a shuffle. It
+  settles labels in order of cost, which is what searches are defined by whose state is cut off (batteries, charging).
+
+``search`` takes the kernel where the state is cut off, else the relational search. ``answered`` also tells which requests
+ended early without a route.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.operators.constraints import Combined, Constraint, TurnRestriction
@@ -29,8 +31,12 @@ from wayfold.operators.labels import VertexLabel
 from wayfold.operators.models import Columns, Feature, Numbers, TraversalModel, features_of, ordered, step
 from wayfold.plans.scratch import materialise
 
-#: Bytes of edge arrays that may be broadcast to kernels.
+#: Bytes of edge arrays that one kernel may hold.
 KERNEL_BYTES = 512 << 20
+#: Bytes that a label takes in a search, for limits on memory.
+LABEL_BYTES = 128
+#: Rounds after which a search's labels are written as one table.
+COMPACT = 4
 
 
 class SearchError(RuntimeError):
@@ -39,7 +45,8 @@ class SearchError(RuntimeError):
 
 @dataclass
 class Limits:
-    """When a search ends early. None: never. ``strict``: ending early is an error for requests with a destination."""
+    """When a search ends early. None: never. ``strict``: ending early is an error for requests with a destination that have no
+    route yet."""
 
     rounds: int | None = None
     labels: int | None = None
@@ -57,14 +64,27 @@ class Limits:
         if kind == "query_runtime":
             h, m, s = spec["limit"].split(":")
             return cls(seconds=int(h) * 3600 + int(m) * 60 + float(s))
-        if kind == "memory":  # Spark bounds memory itself
-            return cls()
+        if kind == "memory":  # in megabytes, as the labels that fill it
+            return cls(labels=max(1, int(float(spec["limit"]) * (1 << 20) / LABEL_BYTES)))
         if kind == "combined":
             parts = [cls.of(m) for m in spec["models"]]
             least = lambda name: min((v for p in parts if (v := getattr(p, name)) is not None), default=None)
             return cls(least("rounds"), least("labels"), least("seconds"))
         raise SearchError(f"unknown termination type '{kind}'")
 
+    @property
+    def bounded(self) -> bool:
+        return self.rounds is not None or self.labels is not None or self.seconds is not None
+
+    def over(self, labels: DataFrame, rounds: int, seconds: float) -> tuple[str, DataFrame] | None:
+        """(why, requests (query_id) that end here) of a batch: labels are counted for each request."""
+        if why := Limits(self.rounds, None, self.seconds).reached(rounds, 0, seconds):
+            return why, labels.select("query_id").distinct()
+        if self.labels is None:
+            return None
+        full = labels.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= self.labels).select("query_id")
+        return (f"{self.labels} labels", full) if not full.isEmpty() else None
+
     def reached(self, rounds: int, labels: int, seconds: float) -> str | None:
         """Why a search that has come so far ends, if it does."""
         told = [
@@ -92,7 +112,7 @@ class Setup:
     def __post_init__(self) -> None:
         self.models = ordered(self.models)
         self.features: list[Feature] = features_of(self.models, self.initial)
-        self.cost = self.cost.checked(self.features)
+        self.cost = (self.cost.for_requests(self.features) if self.cost.own_weights else self.cost).checked(self.features)
         if not isinstance(self.constraint, Combined):
             self.constraint = Combined([self.constraint])
 
@@ -100,6 +120,11 @@ class Setup:
     def history(self) -> bool:
         return self.constraint.history or any(m.history for m in self.models)
 
+    @property
+    def clamped(self) -> bool:
+        """Whether a step depends on more than its edge and the edge before it."""
+        return any(p.history and not p.by_edge for p in [*self.constraint.parts, *self.models])
+
     @property
     def turns(self) -> list[TurnRestriction]:
         return [p for p in self.constraint.parts if isinstance(p, TurnRestriction)]
@@ -111,89 +136,225 @@ class Setup:
         return {f.name: float(f.initial) for f in self.features}
 
 
-TREE = "query_id long, vertex_id long, bin int, g double, objective_cost double, total_cost double, edge_list_id int, edge_id long, parent_vertex long, parent_bin int, depth int, state {state}"
+TREE = "query_id long, vertex_id long, bin int, label string, g double, objective_cost double, total_cost double, edge_list_id int, edge_id long, parent_vertex long, parent_bin int, parent_label string, depth int, state {state}"
+#: What names a label in a tree. ``label`` is the edge by which it was reached where turns matter, else empty.
+LABEL = ["query_id", "vertex_id", "bin", "label"]
+ERRORS = "query_id long, error string"
 
 
 def search(network: Network, requests: DataFrame, setup: Setup, engine: str = "auto") -> DataFrame:
     """The search trees of requests (query_id, origin, destination or null): a row for each label that was reached.
 
     The root has no edge. With a destination, the tree holds at least all labels on the best way to it; unreachable ones are
-    absent. Equal costs are decided by (edge_list_id, edge_id) in the relational search.
+    absent. Equal costs are decided by (edge_list_id, edge_id) in the relational search. A request that ends early without a
+    route is an error here; see ``answered``.
     """
+    return _or_raise(*answered(network, requests, setup, engine))
+
+
+def answered(network: Network, requests: DataFrame, setup: Setup, engine: str = "auto") -> tuple[DataFrame, DataFrame]:
+    """(trees, errors): errors (query_id, error) for requests with a destination that ended early without a route."""
     if engine == "auto":
-        engine = "kernel" if setup.history else "relax"
-    return kernel(network, requests, setup) if engine == "kernel" else relax(network, requests, setup)
+        engine = "kernel" if setup.clamped else "relax"
+    return _kernel(network, requests, setup, KERNEL_BYTES) if engine == "kernel" else _relax(network, requests, setup)
 
 
-def _near_far(direction: str) -> tuple[str, str]:
-    return ("src", "dst") if direction == "forward" else ("dst", "src")
+def relax(network: Network, requests: DataFrame, setup: Setup, cut: DataFrame | None = None) -> DataFrame:
+    """``cut``: rows of (query_id, edge_list_id, edge_id) that a request may not use."""
+    return _or_raise(*_relax(network, requests, setup, cut))
 
 
-def _expressions(setup: Setup, edge: dict, before: dict) -> tuple[Any, Any, Any, Any]:
-    """(test, objective, total, state) as Columns."""
-    after = step(Columns, setup.models, setup.features, edge, before, setup.q)
-    objective, total = setup.cost.costs(Columns, setup.features, before, after, edge)
-    state = F.struct(*[after[f.name].cast("double").alias(f.name) for f in setup.features])
-    return setup.constraint.allows(Columns, edge, before), objective, total, state
+def kernel(network: Network, requests: DataFrame, setup: Setup, most: int = KERNEL_BYTES) -> DataFrame:
+    return _or_raise(*_kernel(network, requests, setup, most))
 
 
-def relax(network: Network, requests: DataFrame, setup: Setup, cut: DataFrame | None = None, rounds: int = 100_000) -> DataFrame:
-    """``cut``: rows of (query_id, edge_list_id, edge_id) that a request may not use."""
+def _or_raise(tree: DataFrame, errors: DataFrame) -> DataFrame:
+    if row := errors.first():
+        raise SearchError(f"request {row['query_id']}: {row['error']}")
+    return tree
+
+
+def _near_far(direction: str) -> tuple[str, str]:
+    return ("src", "dst") if direction == "forward" else ("dst", "src")
+
+
+class Steps:
+    """The steps of a relational search: rows of labels (query_id, vertex_id, label, g and what turns need) meet edges."""
+
+    def __init__(self, network: Network, requests: DataFrame, setup: Setup, cut: DataFrame | None):
+        self.setup, self.cut, self.turning = setup, cut, setup.history
+        self.near, self.far = _near_far(setup.direction)
+        self.edges = setup.constraint.prefilter(network.wide_edges())
+        self.weights = setup.cost.own_weights
+        # What a label carries beside its cost: with turns, the edge it came by.
+        self.carried = ["came_list", "came_edge", "came_heading"] if self.turning else []
+        start = {f.name: F.lit(float(v)) for f, v in zip(setup.features, setup.start().values(), strict=True)}
+        own = {"prev_departure_heading": F.col("came_heading") if self.turning else F.lit(None).cast("int")}
+        edge = {c: F.col(c) for c in [*self.edges.columns, *(["weights"] if self.weights else [])]} | own
+        after = step(Columns, setup.models, setup.features, edge, start, setup.q)
+        self.objective, self.total = setup.cost.costs(Columns, setup.features, start, after, edge)
+        self.state = F.struct(*[after[f.name].cast("double").alias(f.name) for f in setup.features])
+        self.test = setup.constraint.allows(Columns, edge, start)
+        self.own = requests.select(F.col("query_id").cast("long").alias("wq"), "weights") if self.weights else None
+        if not self.turning:  # a step costs the same from wherever it is taken: worked out once
+            parts = [] if self.weights else [self.objective.alias("__objective")]
+            self.edges = self.edges.withColumns({"__objective": self.objective}) if parts else self.edges
+
+    def met(self, labels: DataFrame) -> DataFrame:
+        """Labels (``g`` and names with ``from_``) with each edge that they may take, and the cost of it."""
+        rows = labels.join(self.edges, F.col("from_vertex") == F.col(self.near))
+        if self.cut is not None:
+            rows = rows.join(self.cut, ["query_id", "edge_list_id", "edge_id"], "left_anti")
+        for turn in self.setup.turns:
+            pairs = turn.pairs.select(F.col("prev_edge_id").alias("came_edge"), F.col("next_edge_id").alias("edge_id"))
+            rows = rows.join(pairs, ["came_edge", "edge_id"], "left_anti")
+        if self.weights:
+            rows = rows.join(self.own, F.col("query_id") == F.col("wq"), "left")
+        if self.test is not None:
+            rows = rows.filter(self.test)
+        if self.turning or self.weights:
+            rows = rows.withColumn("__objective", self.objective)
+        return rows.filter((F.col("__objective") < math.inf) & F.col("__objective").isNotNull()).withColumn("reached_g", F.col("g") + F.col("__objective"))
+
+    def taken(self, rows: DataFrame) -> DataFrame:
+        """Rows that name the edge they took (and what they carried), with it and its cost."""
+        rows = rows.join(self.edges, ["edge_list_id", "edge_id"])
+        if self.weights:
+            rows = rows.join(self.own, F.col("query_id") == F.col("wq"), "left")
+        return rows.withColumn("__objective", self.objective) if self.turning or self.weights else rows
+
+    def named(self, rows: DataFrame) -> list[Column]:
+        """The label that a step leads to."""
+        if not self.turning:
+            return [F.col(self.far).alias("vertex_id")]
+        out = F.col("arrival_heading") if "departure_heading" not in rows.columns else F.coalesce("departure_heading", "arrival_heading")
+        heading = out if "arrival_heading" in rows.columns else F.lit(None)
+        return [F.col(self.far).alias("vertex_id"), F.col("edge_list_id").cast("int").alias("came_list"), F.col("edge_id").alias("came_edge"), heading.cast("int").alias("came_heading")]
+
+
+def _relax(network: Network, requests: DataFrame, setup: Setup, cut: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     import time
 
-    near, far = _near_far(setup.direction)
-    edges = setup.constraint.prefilter(network.wide_edges())
-    began = time.monotonic()
-    root_state = F.struct(*[F.lit(v).alias(k) for k, v in setup.start().items()])
-    best = requests.select(
-        F.col("query_id").cast("long").alias("query_id"), F.col("origin").cast("long").alias("vertex_id"), F.lit(0).alias("bin"), F.lit(0.0).alias("g"), F.lit(0.0).alias("objective_cost"), F.lit(0.0).alias("total_cost"),
-        F.lit(None).cast("int").alias("edge_list_id"), F.lit(None).cast("long").alias("edge_id"), F.lit(None).cast("long").alias("parent_vertex"), F.lit(None).cast("int").alias("parent_bin"), F.lit(0).alias("depth"), root_state.alias("state"), F.lit(0).alias("round"),
-    )
-    if setup.direction == "forward":
-        best = best.join(network.vertices.select("vertex_id"), "vertex_id", "left_semi").select(*best.columns)
-    # As many partitions as the edges fill: the frontier joins them round after round.
-    best = materialise(best, "best")
-    targets = requests.filter("destination IS NOT NULL").select(F.col("query_id").cast("long").alias("tq"), F.col("destination").cast("long").alias("tv"))
-    has_targets = requests.filter("destination IS NULL").isEmpty()
-    columns = [c for c in edges.columns if c not in ("src", "dst")]
-    for number in range(1, rounds + 1):
-        frontier = best.filter(F.col("round") == number - 1)
-        if has_targets:  # a label that costs as much as the way already found leads nowhere better
-            found = best.join(targets, (F.col("query_id") == F.col("tq")) & (F.col("vertex_id") == F.col("tv"))).groupBy("tq").agg(F.min("g").alias("bound"))
-            frontier = frontier.join(found, F.col("query_id") == F.col("tq"), "left").filter("bound IS NULL OR g < bound").drop("tq", "bound")
-        before_edge = frontier.select("query_id", F.col("vertex_id").alias("parent_vertex"), F.col("bin").alias("parent_bin"), "g", "depth", F.col("state").alias("before"), F.col("edge_list_id").alias("prev_list"), F.col("edge_id").alias("prev_edge_id"))
-        if setup.history and "departure_heading" in columns:
-            heading = network.edges.select(F.col("edge_list_id").alias("prev_list"), F.col("edge_id").alias("prev_edge_id"), F.coalesce("departure_heading", "arrival_heading").alias("prev_departure_heading"))
-            before_edge = before_edge.join(heading, ["prev_list", "prev_edge_id"], "left")
-        met = before_edge.join(edges, F.col("parent_vertex") == F.col(near))
-        if cut is not None:
-            met = met.join(cut, ["query_id", "edge_list_id", "edge_id"], "left_anti")
-        for turn in setup.turns:
-            pairs = turn.pairs.select("prev_edge_id", F.col("next_edge_id").alias("edge_id"))
-            met = met.join(pairs, ["prev_edge_id", "edge_id"], "left_anti")
-        edge = {c: F.col(c) for c in met.columns}
-        test, objective, total, state = _expressions(setup, edge, {f.name: F.col(f"before.{f.name}") for f in setup.features})
-        if test is not None:
-            met = met.filter(test)
-        after = met.select("query_id", F.col(far).alias("vertex_id"), "g", "depth", "edge_list_id", "edge_id", "parent_vertex", "parent_bin", objective.alias("objective_cost"), total.alias("total_cost"), state.alias("state"))
-        after = after.filter((F.col("objective_cost") < math.inf) & F.col("objective_cost").isNotNull())
-        new = after.select(
-            "query_id", "vertex_id", setup.label.column({f.name: F.col(f"state.{f.name}") for f in setup.features}).cast("int").alias("bin"), (F.col("g") + F.col("objective_cost")).alias("g"), "objective_cost", "total_cost",
-            "edge_list_id", "edge_id", "parent_vertex", "parent_bin", (F.col("depth") + 1).alias("depth"), "state", F.lit(number).alias("round"),
-        )
-        packed = F.struct("g", "edge_list_id", "edge_id", "parent_vertex", "parent_bin", "round", "objective_cost", "total_cost", "depth", "state")
-        both = best.unionByName(new).select("query_id", "vertex_id", "bin", packed.alias("s"))
-        # Nulls come first: a root is kept before any edge that leads back to it.
-        kept = both.groupBy("query_id", "vertex_id", "bin").agg(F.min("s").alias("s")).select("query_id", "vertex_id", "bin", "s.*").select(*best.columns)
-        best = materialise(kept, "best", best)
-        told = best.agg(F.count("*").alias("n"), F.max("round").alias("last")).first()
-        if told["last"] is None or told["last"] < number:
+    if setup.clamped:
+        raise SearchError("the state of these models is cut off: use the kernel")
+    spark, began = requests.sparkSession, time.monotonic()
+    steps = Steps(network, requests, setup, cut)
+    names = ["query_id", "vertex_id", *steps.carried]
+    asked = requests.select(F.col("query_id").cast("long").alias("query_id"), F.col("origin").cast("long").alias("vertex_id"), F.col("destination").cast("long").alias("destination"))
+    root = asked.join(network.vertices.select("vertex_id"), "vertex_id", "left_semi").select("query_id", "vertex_id", *(F.lit(None).cast("int" if c != "came_edge" else "long").alias(c) for c in steps.carried), F.lit(0.0).alias("g"), F.lit(0).alias("round"))
+    targets = materialise(asked.filter("destination IS NOT NULL").select(F.col("query_id").alias("tq"), F.col("destination").alias("tv")), "targets")
+    has_targets = not targets.isEmpty()
+    known = fresh = materialise(root, "labels")
+    before_goal, parts, ended, every = None, 0, None, root
+    for number in range(1, 1_000_000):
+        frontier = fresh
+        if has_targets:
+            # A label that costs as much as a way already found leads nowhere better; nor does one whose straight way would.
+            bounds = known.join(targets, (F.col("query_id") == F.col("tq")) & (F.col("vertex_id") == F.col("tv"))).groupBy("tq").agg(F.min("g").alias("bound"))
+            frontier = frontier.join(bounds, F.col("query_id") == F.col("tq"), "left").drop("tq")
+            least = F.col("g")
+            if setup.heuristic:
+                if before_goal is None:
+                    before_goal = _to_goal(network, targets, setup)
+                frontier, least = before_goal(frontier)
+            frontier = frontier.filter(F.col("bound").isNull() | (least < F.col("bound")))
+        rows = steps.met(frontier.select("query_id", F.col("vertex_id").alias("from_vertex"), *steps.carried, "g"))
+        # What is carried is that of the edge just taken from here on.
+        new = rows.select("query_id", *steps.named(rows), F.col("reached_g").alias("g"), F.lit(None).cast("double").alias("old"))
+        # One exchange: steps are put together by label in each task before it, with what is known of the label.
+        both = new.unionByName(known.select(*names, "g", F.col("g").alias("old")))
+        better = both.groupBy(*names).agg(F.min("g").alias("g"), F.min("old").alias("old")).filter("old IS NULL OR g < old").select(*names, "g", F.lit(number).alias("round"))
+        fresh = materialise(better, "fresh")
+        if fresh.isEmpty():
             break
-        if why := setup.limits.reached(number, told["n"], time.monotonic() - began):
-            if setup.limits.strict and has_targets:
-                raise SearchError(f"search ended early: {why}")
+        parts += 1
+        known, every = known.unionByName(fresh), every.unionByName(fresh)
+        if parts >= COMPACT:  # labels written several times are put together now and then
+            known, parts = materialise(_least(known, names), "labels"), 0
+        if setup.limits.bounded and (over := setup.limits.over(_least(known, names), number, time.monotonic() - began)):
+            why, full = over
+            full = materialise(full.withColumn("why", F.lit(why)), "ended")
+            ended = full if ended is None else materialise(ended.unionByName(full.join(ended, "query_id", "left_anti")), "ended")
+            fresh = materialise(fresh.join(full, "query_id", "left_anti"), "fresh")
+            if fresh.isEmpty():
+                break
+    labels = materialise(_least(known, names), "labels")
+    # Of a search that ended early, some labels' parents got better after them: they are explained by what those were.
+    tree = _explained(labels, labels if ended is None else every, names, steps, setup)
+    if ended is None or not setup.limits.strict or not has_targets:
+        return tree, spark.createDataFrame([], ERRORS)
+    without = targets.join(labels.select(F.col("query_id").alias("tq"), F.col("vertex_id").alias("tv")).distinct(), ["tq", "tv"], "left_anti")
+    return tree, without.join(ended, F.col("tq") == F.col("query_id")).select("query_id", F.concat(F.lit("search ended early: "), "why").alias("error"))
+
+
+def _least(labels: DataFrame, names: list[str]) -> DataFrame:
+    """Each label once, with its least cost and the round that found it."""
+    return labels.groupBy(*names).agg(F.min("g").alias("g"), F.min_by("round", "g").alias("round"))
+
+
+def _to_goal(network: Network, targets: DataFrame, setup: Setup):
+    """A function that adds to labels the cost that a straight way to their goal would have: never more than the real one."""
+    place = lambda side: network.vertices.select(F.col("vertex_id").alias(f"{side}_v"), F.col("x").alias(f"{side}_x"), F.col("y").alias(f"{side}_y"))
+    goals = materialise(targets.join(place("dst"), F.col("tv") == F.col("dst_v")).select(F.col("tq").alias("goal_q"), "dst_x", "dst_y"), "goals")
+    start = {f.name: F.lit(float(f.initial)) for f in setup.features}
+    pair = {c: F.col(c) for c in ("src_x", "src_y", "dst_x", "dst_y")}
+    after = step(Columns, setup.models, setup.features, pair, start, setup.q, estimate=True)
+    bound = setup.cost.costs(Columns, setup.features, start, after)[0]
+
+    def add(labels: DataFrame) -> tuple[DataFrame, Column]:
+        rows = labels.join(place("src"), F.col("vertex_id") == F.col("src_v")).join(goals, F.col("query_id") == F.col("goal_q"), "left")
+        return rows, F.col("g") + F.coalesce(bound, F.lit(0.0)) * (1 - 1e-9)
+
+    return add
+
+
+def _explained(labels: DataFrame, sources: DataFrame, names: list[str], steps: Steps, setup: Setup) -> DataFrame:
+    """The tree of the final labels: the edge from one of ``sources`` that explains each cost, and states added up."""
+    text = F.concat_ws(":", "came_list", "came_edge") if steps.turning else F.lit("")
+    start = F.struct(*[F.lit(v).alias(k) for k, v in setup.start().items()])
+    parents = sources.select("query_id", F.col("vertex_id").alias("from_vertex"), text.alias("parent_label"), *steps.carried, "g", F.col("round").alias("from_round"))
+    rows = steps.met(parents)
+    # Only names travel; what a step did is worked out again for those that are chosen.
+    before = [F.col(c).alias(f"p_{c}") for c in steps.carried]
+    taken = rows.select("query_id", *steps.named(rows), *before, "reached_g", F.col("g").alias("from_g"), "from_round", F.col("from_vertex").alias("parent_vertex"), "parent_label", "edge_list_id", "edge_id")
+    ends = labels.select(*(F.col(c).alias(f"l_{c}") for c in [*names, "g", "round"]))
+    same = (F.col("query_id") == F.col("l_query_id")) & (F.col("vertex_id") == F.col("l_vertex_id")) & (F.col("reached_g") == F.col("l_g"))
+    if steps.turning:
+        same = same & (F.col("came_list") == F.col("l_came_list")) & (F.col("came_edge") == F.col("l_came_edge"))
+    # Along (cost, round) a parent is always less, so that steps that cost next to nothing cannot run in a circle.
+    fits = taken.join(ends, same).filter("l_round > 0 AND (from_g < l_g OR from_round < l_round)")
+    chosen = fits.groupBy("query_id", "vertex_id", *(["came_list", "came_edge"] if steps.turning else []), F.col("l_g").alias("g")).agg(F.min(F.struct("edge_list_id", "edge_id", "parent_vertex", "parent_label", *(f"p_{c}" for c in steps.carried))).alias("s"))
+    label = text.alias("label")
+    done = steps.taken(chosen.select("query_id", "vertex_id", label, "g", "s.edge_list_id", "s.edge_id", "s.parent_vertex", "s.parent_label", *(F.col(f"s.p_{c}").alias(c) for c in steps.carried)))
+    key = [F.col("query_id"), F.col("vertex_id"), F.lit(0).alias("bin"), F.col("label"), F.col("g")]
+    grown = done.select(*key, F.col("__objective").alias("objective_cost"), steps.total.alias("total_cost"), F.col("edge_list_id").cast("int").alias("edge_list_id"), "edge_id", "parent_vertex", F.lit(0).alias("parent_bin"), "parent_label", F.lit(1).alias("depth"), steps.state.alias("state"))
+    key[3] = label
+    none = lambda kind: F.lit(None).cast(kind)
+    root = labels.filter("round = 0").select(*key, F.lit(0.0).alias("objective_cost"), F.lit(0.0).alias("total_cost"), none("int").alias("edge_list_id"), none("long").alias("edge_id"), none("long").alias("parent_vertex"), none("int").alias("parent_bin"), none("string").alias("parent_label"), F.lit(0).alias("depth"), start.alias("state"))
+    tree = materialise(grown.unionByName(root), "tree")
+    return added_up(tree, setup)
+
+
+def added_up(tree: DataFrame, setup: Setup) -> DataFrame:
+    """The tree with depths and states from the root on, where each row has those of its own edge alone."""
+    sums = [f for f in setup.features if f.accumulator]
+    start = setup.start()
+    far = lambda f, a, b: F.least(a, b) if f.least else a + b - F.lit(start[f.name])
+    # (label, depth, sums): up to the label ``up``, which is null at the root.
+    now = materialise(tree.select(*LABEL, F.col("parent_vertex").alias("up_vertex"), F.col("parent_bin").alias("up_bin"), F.col("parent_label").alias("up_label"), "depth", *(F.col(f"state.{f.name}").alias(f"s_{k}") for k, f in enumerate(sums))), "jumps")
+    for _ in range(64):
+        if now.filter("up_vertex IS NOT NULL").isEmpty():
             break
-    return best.drop("round")
+        ends = now.select(F.col("query_id").alias("q"), F.col("vertex_id").alias("v"), F.col("bin").alias("b"), F.col("label").alias("l"), F.col("up_vertex").alias("v2"), F.col("up_bin").alias("b2"), F.col("up_label").alias("l2"), F.col("depth").alias("d2"), *(F.col(f"s_{k}").alias(f"t_{k}") for k in range(len(sums))))
+        met = now.join(ends, (F.col("query_id") == F.col("q")) & (F.col("up_vertex") == F.col("v")) & (F.col("up_bin") == F.col("b")) & (F.col("up_label") == F.col("l")), "left")
+        whole = [F.when(F.col("q").isNull(), F.col(f"s_{k}")).otherwise(far(f, F.col(f"s_{k}"), F.col(f"t_{k}"))).alias(f"s_{k}") for k, f in enumerate(sums)]
+        now = materialise(met.select(*LABEL, F.col("v2").alias("up_vertex"), F.col("b2").alias("up_bin"), F.col("l2").alias("up_label"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), *whole), "jumps", now)
+    else:
+        raise SearchError("the tree has a circle")
+    state = F.struct(*[(F.col(f"s_{sums.index(f)}") if f in sums else F.col(f"state.{f.name}")).alias(f.name) for f in setup.features])
+    columns = [c for c in tree.columns if c not in ("depth", "state")]
+    both = tree.drop("depth").join(now.select(*LABEL, "depth", *(f"s_{k}" for k in range(len(sums)))), LABEL)
+    return both.select(*columns, "depth", state.alias("state"))
 
 
 # -- kernel -----------------------------------------------------------------------------------------------------------------
@@ -234,14 +395,6 @@ class Edge:
         return self[name] if name in self.own or name in self.arrays.columns else None
 
 
-def _arrays(network: Network, setup: Setup, most: int) -> Arrays:
-    edges = setup.constraint.prefilter(network.wide_edges())
-    n = edges.count()
-    if n * 8 * len(edges.columns) > most:
-        raise SearchError(f"{n} edges are too many for a kernel: use the relational search")
-    return Arrays(edges.toPandas(), _near_far(setup.direction)[0])
-
-
 def solve(arrays: Arrays, setup: Setup, origin: int, destination: int | None, turns: set[tuple[int, int]], place: dict | None = None) -> dict:
     """{(vertex, bin): (g, objective, total, edge list, edge, parent vertex, parent bin, depth, state)} for one request."""
     import time
@@ -251,7 +404,7 @@ def solve(arrays: Arrays, setup: Setup, origin: int, destination: int | None, tu
     root = (origin, setup.label.bin(start))
     best = {root: (0.0, 0.0, 0.0, None, None, None, None, 0, start)}
     heading: dict = {root: None}
-    queue, settled, count, began = [(0.0, 0, root)], set(), 1, time.monotonic()
+    queue, settled, count, began, now = [(0.0, 0, root)], set(), 1, time.monotonic(), 0.0
     edge = Edge(arrays)
 
     def bound(vertex: int) -> float:
@@ -263,8 +416,10 @@ def solve(arrays: Arrays, setup: Setup, origin: int, destination: int | None, tu
         return setup.cost.costs(Numbers, setup.features, start, after)[0]
 
     while queue:
-        if len(settled) % 1024 == 0 and (why := setup.limits.reached(len(settled), len(best), time.monotonic() - began)):
-            if setup.limits.strict and destination is not None:
+        if len(settled) % 1024 == 0:
+            now = time.monotonic() - began
+        if why := setup.limits.reached(len(settled), len(best), now):
+            if setup.limits.strict and destination is not None and not any(v == destination for v, _ in best):
                 raise SearchError(f"search ended early: {why}")
             break
         _, _, at = heapq.heappop(queue)
@@ -297,32 +452,39 @@ def solve(arrays: Arrays, setup: Setup, origin: int, destination: int | None, tu
     return best
 
 
-def kernel(network: Network, requests: DataFrame, setup: Setup, most: int = KERNEL_BYTES) -> DataFrame:
+def _kernel(network: Network, requests: DataFrame, setup: Setup, most: int) -> tuple[DataFrame, DataFrame]:
+    """A copy of the edges goes to each task by a shuffle and is turned into arrays there."""
     spark = requests.sparkSession
-    shared = spark.sparkContext.broadcast(_arrays(network, setup, most))
+    edges = setup.constraint.prefilter(network.wide_edges())
+    n = edges.count()
+    if n * 8 * len(edges.columns) > most:
+        raise SearchError(f"{n} edges are too many for a kernel of {most} bytes")
     turns = set().union(*(t.kernel_pairs() for t in setup.turns)) if setup.turns else set()
-    place = None
-    if setup.heuristic:
-        if network.vertices.count() * 64 > most:
-            raise SearchError("too many vertices for a kernel's heuristic: use the relational search")
-        place = {r["vertex_id"]: (r["x"], r["y"]) for r in network.vertices.collect()}
-    bare = _without_frames(setup)
-    rest = spark.sparkContext.broadcast((bare, turns, place))
-    names = [f.name for f in setup.features]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        setup, turns, place = rest.value
-        for part in parts:
-            for query_id, origin, destination in zip(part["query_id"], part["origin"], part["destination"], strict=True):
-                tree = solve(shared.value, setup, int(origin), None if pd.isna(destination) else int(destination), turns, place)
-                rows = [(query_id, v, b, *row[:8], tuple(float(row[8][n]) for n in names)) for (v, b), row in tree.items()]
-                made = pd.DataFrame(rows, columns=[x.split()[0] for x in TREE.split(", ")], dtype=object)
-                made["state"] = [dict(zip(names, s, strict=True)) for s in made["state"]]
-                yield made
-
-    # A number of partitions of our own: the rows are few, but each of them is much work.
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return requests.select("query_id", "origin", "destination").repartition(tasks, "query_id").mapInPandas(run, TREE.format(state=setup.state_type()))
+    rest = spark.sparkContext.broadcast((_without_frames(setup), turns))
+    names, columns = [f.name for f in setup.features], [x.split()[0] for x in TREE.split(", ")]
+    near, heuristic = _near_far(setup.direction)[0], setup.heuristic
+
+    def run(asked: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        setup, turns = rest.value
+        arrays, place = Arrays(edges.drop(columns="slot"), near), None
+        if heuristic:
+            place = {v: (x, y) for side in ("src", "dst") for v, x, y in zip(edges[side], edges[f"{side}_x"], edges[f"{side}_y"], strict=True)}
+        rows = []
+        for query_id, origin, destination in zip(asked["query_id"], asked["origin"], asked["destination"], strict=True):
+            try:
+                tree = solve(arrays, setup, int(origin), None if pd.isna(destination) else int(destination), turns, place)
+                rows += [(query_id, v, b, "", *row[:7], None if row[4] is None else "", row[7], {k: float(row[8][k]) for k in names}, None) for (v, b), row in tree.items()]
+            except SearchError as e:
+                rows.append((query_id, *[None] * (len(columns) - 1), str(e)))
+        return pd.DataFrame(rows, columns=[*columns, "error"], dtype=object)
+
+    # The requests are few, but each of them is much work: a group for each of some tasks.
+    slots = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), requests.count()))
+    asked = requests.select(F.col("query_id").cast("long").alias("query_id"), "origin", "destination", F.pmod(F.xxhash64(F.col("query_id").cast("long")), F.lit(slots)).cast("int").alias("slot"))
+    copies = edges.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    made = asked.groupBy("slot").cogroup(copies.groupBy("slot")).applyInPandas(run, f"{TREE.format(state=setup.state_type())}, error string")
+    made = materialise(made, "kernel")
+    return made.filter("error IS NULL").drop("error"), made.filter("error IS NOT NULL").select("query_id", "error")
 
 
 def _without_frames(setup: Setup) -> Setup:

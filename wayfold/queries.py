@@ -133,26 +133,20 @@ def network_counts(spark, sf_dir):
     return _network(spark, sf_dir).counts()
 
 
-def _sparse(spark: SparkSession, sf_dir: str) -> graph.Network:
-    n = _network(spark, sf_dir)
-    return graph.Network(n.vertices, n.edges.filter("speed_kph = 30 AND distance_m <= 2500"))
-
-
-SPARSE = net("""
-, F AS (SELECT src, dst FROM E WHERE speed_kph = 30 AND distance_m <= 2500),
-C AS (SELECT src AS a, dst AS b FROM F UNION SELECT C.a, F.dst FROM C JOIN F ON F.src = C.b),
+REACH = net("""
+, C AS (SELECT src AS a, dst AS b FROM E UNION SELECT C.a, E.dst FROM C JOIN E ON E.src = C.b),
 M AS (SELECT vertex_id, least(vertex_id, coalesce((SELECT min(c1.b) FROM C c1 JOIN C c2 ON c2.a = c1.b AND c2.b = c1.a WHERE c1.a = vertex_id), vertex_id)) AS component FROM V)
 """).replace("WITH ", "WITH RECURSIVE ", 1).replace("\n\n,", ",\n")
 
 
-@query(SPARSE + "SELECT vertex_id, component FROM M")
+@query(REACH + "SELECT vertex_id, component FROM M")
 def scc(spark, sf_dir):
-    return graph.strong_components(_sparse(spark, sf_dir))
+    return graph.strong_components(_network(spark, sf_dir))
 
 
-@query(SPARSE + "SELECT vertex_id, component FROM M WHERE component = (SELECT component FROM M GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)")
+@query(REACH + "SELECT vertex_id, component FROM M WHERE component = (SELECT component FROM M GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)")
 def largest_scc(spark, sf_dir):
-    return graph.largest_component(graph.strong_components(_sparse(spark, sf_dir)))
+    return graph.largest_component(graph.strong_components(_network(spark, sf_dir)))
 
 
 # -- models on edges --------------------------------------------------------------------------------------------------------
@@ -180,7 +174,8 @@ def speed_limit(spark, sf_dir):
 
 @query(net("SELECT round(max(speed_kph) / 1.609344::DOUBLE, 6) AS fastest_mph, count(*) AS n FROM E"))
 def max_speed(spark, sf_dir):
-    return _edges(spark, sf_dir).agg(F.round(units.convert(F.max("speed_kph"), "speed", "kph", "mph"), 6).alias("fastest_mph"), F.count("*").alias("n"))
+    e = _edges(spark, sf_dir)
+    return e.agg(F.round(F.lit(models.fastest_mph(e)), 6).alias("fastest_mph"), F.count("*").alias("n"))
 
 
 @query(net("SELECT edge_id, round(distance_m / 1609.344::DOUBLE, 6) AS edge_distance, round(distance_m / 1000 / speed_kph * 60, 6) AS edge_time FROM E"))
@@ -273,9 +268,7 @@ def interp_2d(spark, sf_dir):
 
 @query("SELECT round(min(1.1::DOUBLE * (0.02::DOUBLE + 0.00002::DOUBLE * v * (-0.2::DOUBLE * g + 20))), 6) AS rate, count(*) AS n FROM range(1, 101) a(v), range(0, 101) b(g), range(0, 12) c(t)")
 def min_energy_rate(spark, sf_dir):
-    p = _grid()
-    rate = Columns.grid(p.values, p.axes, [F.col("speed").cast("double"), F.col("grade").cast("double")]) * p.real_world
-    return spark.sql(energy.best_rate_sql()).agg(F.round(F.min(rate), 6).alias("rate"), F.count("*").alias("n"))
+    return spark.sql(energy.best_rate_sql()).agg(F.round(F.lit(energy.best_rate(spark, _grid())), 6).alias("rate"), F.count("*").alias("n"))
 
 
 @query(net(f"SELECT edge_id, round({RATE} * 1.1::DOUBLE * distance_m / 1609.344::DOUBLE, 6) AS gallons FROM E"))
@@ -433,11 +426,6 @@ def weight_categorical(spark, sf_dir):
     return shaping.weight_categorical(_supplier_requests(spark, sf_dir), "zone", {"n1": 5.0, "n2": 7.0}, 1.5).select("query_id", F.col("query_weight_estimate").alias("weight"))
 
 
-@query()
-def load_balance(spark, sf_dir):
-    return shaping.with_bins(shaping.weight_numeric(_supplier_requests(spark, sf_dir), "load"), 4).select("query_id", "bin")
-
-
 @query("SELECT s_suppkey AS query_id, s_suppkey % 10 = 3 AS failed, CASE WHEN s_suppkey % 10 = 3 THEN 'not JSON' END AS error FROM supplier")
 def response_errors(spark, sf_dir):
     rows = _supplier_requests(spark, sf_dir).withColumn("request", F.when(F.col("query_id") % 10 == 3, F.lit("{broken")).otherwise(F.col("request")))
@@ -463,21 +451,6 @@ def nearest_vertex(spark, sf_dir):
     return matching.nearest_vertex(_points(spark, sf_dir), _network(spark, sf_dir)).select("point_id", "vertex_id", F.round("d2", 9).alias("d2"))
 
 
-def _stubs(spark, sf_dir) -> DataFrame:
-    """The first hundredth of each edge."""
-    e = _network(spark, sf_dir).wide_edges()
-    part = lambda c: F.struct((F.col("src_x") + (F.col("dst_x") - F.col("src_x")) * c).alias("x"), (F.col("src_y") + (F.col("dst_y") - F.col("src_y")) * c).alias("y"))
-    return e.select("edge_list_id", "edge_id", F.array(part(0.0), part(0.01)).alias("line"))
-
-
-STUBS = "B AS (SELECT edge_list_id, edge_id, src_x AS ax, src_x + (dst_x - src_x) * 0.01::DOUBLE AS bx, src_y AS ay, src_y + (dst_y - src_y) * 0.01::DOUBLE AS b_y FROM T)"
-
-
-@query(net(f", {POINTS}, {STUBS}, D AS (SELECT point_id, min(pow(greatest(least(ax, bx) - px, 0, px - greatest(ax, bx)), 2) + pow(greatest(least(ay, b_y) - py, 0, py - greatest(ay, b_y)), 2)) AS d2 FROM Q, B GROUP BY point_id) SELECT point_id, round(d2, 9) AS d2 FROM D").replace("\n,", ",", 1))
-def nearest_bbox_edge(spark, sf_dir):
-    return matching.nearest_edge(_points(spark, sf_dir), _stubs(spark, sf_dir)).select("point_id", F.round("d2", 9).alias("d2"))
-
-
 HAVERSINE = "2 * 6371000 * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians(y - py) / 2), 2) + cos(radians(py)) * cos(radians(y)) * pow(sin(radians(x - px) / 2), 2))))"
 
 
@@ -577,7 +550,7 @@ def route_geojson(spark, sf_dir):
 def run_summary(spark, sf_dir):
     n, r = derived_network(spark, sf_dir).cached(), materialise(_requests(spark, sf_dir), "asked")
     tree = materialise(relax(n, _trees(r), _metres()), "tree")
-    return output.run_summary(tree, paths.routes(tree, r), r)
+    return output.run_summary(tree, paths.routes(tree, r), r).select("query_id", "tree_size", "route_edges", "n_routes")
 
 
 @query()
@@ -675,11 +648,13 @@ def vertex_numbering(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from wayfold import operator_queries  # noqa: F401  adds to QUERIES and ORACLE
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return {k: v for k, v in ORACLE.items() if k in queries()}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

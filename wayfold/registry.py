@@ -6,6 +6,7 @@ from collections.abc import Callable
 from typing import Any
 
 from wayfold.operators import constraints, energy, labels, models, shaping
+from wayfold.sources import files
 
 KINDS = ("traversal", "constraint", "label", "input", "output", "prediction")
 
@@ -57,7 +58,7 @@ def default_registry() -> Registry:
     r.register("label", "soc", lambda s, c: labels.SocBins(s.get("bins") or [float(x) for x in range(10, 101, 10)]))
     i = lambda name, f: r.register("input", name, f)
     i("grid_search", lambda s, c: shaping.grid_search)
-    i("inject", lambda s, c: lambda df: shaping.inject_constant(df, s["key"], s["value"], s.get("write_mode", "overwrite")))
+    i("inject", lambda s, c: _injection(s))
     i("load_balancer", lambda s, c: _balancer(s["weight_heuristic"]))
     i("debug", lambda s, c: shaping.debug)
     o = lambda name, f: r.register("output", name, f)
@@ -77,6 +78,17 @@ def vehicle_parameters(given: list | None) -> list[tuple[str, float, str]] | Non
         raise constraints.ConstraintError(f"vehicle_parameters need type, value and unit: {e}") from e
 
 
+def _injection(spec: dict):
+    """A constant under a key, or the value of the polygon that holds the request's origin or destination."""
+    mode = spec.get("write_mode", "overwrite")
+    if "spatial_input_file" not in spec:
+        return lambda df: shaping.inject_constant(df, spec["key"], spec["value"], mode)
+    side = spec.get("orientation", "origin")
+    if side not in ("origin", "destination"):
+        raise ValueError(f"unknown orientation '{side}'")
+    return lambda df: shaping.inject_by_polygon(df, files.read_polygons(df.sparkSession, spec["spatial_input_file"], spec.get("source_key")), spec["key"], side, spec.get("default"), mode)
+
+
 def _balancer(spec: dict):
     kind = spec.get("type")
     if kind == "haversine":

@@ -140,15 +140,17 @@ def with_stations(network: Network, stations: DataFrame) -> Network:
     return Network(network.vertices, network.wide_edges().join(side, "dst", "left"), network.turn_restrictions, network.notes)
 
 
-def read_polygons(spark: SparkSession, path: str, prop: str) -> DataFrame:
+def read_polygons(spark: SparkSession, path: str, prop: str | None = None) -> DataFrame:
     """(order, value as JSON text, ring) of a GeoJSON FeatureCollection; a multi-polygon has a row for each of its polygons.
 
-    Features without a geometry or the property, and those that are no polygons, are errors.
+    The value is the property ``prop``, or all properties as an object. Features without a geometry or the property, and those
+    that are no polygons, are errors.
     """
-    schema = "type string, features array<struct<type:string,properties:map<string,string>,geometry:string>>"
+    schema = "type string, features array<struct<type:string,properties:string,geometry:string>>"
     rows = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("d")).select(F.posexplode("d.features").alias("order", "f"))
     kind = F.get_json_object("f.geometry", "$.type")
-    rows = rows.select("order", F.try_element_at("f.properties", F.lit(prop)).alias("value"), kind.alias("kind"), F.get_json_object("f.geometry", "$.coordinates").alias("at"))
+    value = F.col("f.properties") if prop is None else F.to_json(F.try_variant_get(F.try_parse_json("f.properties"), f"$['{prop}']", "variant"))
+    rows = rows.select("order", value.alias("value"), kind.alias("kind"), F.get_json_object("f.geometry", "$.coordinates").alias("at"))
     bad = rows.filter("kind IS NULL OR kind NOT IN ('Polygon', 'MultiPolygon') OR value IS NULL").limit(1).collect()
     if bad:
         raise NetworkError(f"feature {bad[0]['order']}: a polygon with the property '{prop}' is needed")
