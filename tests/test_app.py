@@ -68,6 +68,40 @@ def test_from_file_to_responses(spark, folder):
         app.edge_origin(99)
 
 
+def test_answers_keep_the_order_of_requests_and_combinations(spark, folder):
+    app = App.from_config_file(spark, folder / "app.toml")
+    grid = {"origin_vertex": 0, "destination_vertex": 1, "grid_search": {"weights": [{"weights": {"trip_distance": 1.0}}, {"weights": {"trip_distance": 2.0}}, {"weights": {"trip_distance": -1.0}}]}}
+    got = app.run([{"grid_search": 3}, grid, {"origin_vertex": 0, "destination_vertex": 2, "name": "last"}])
+    assert len(got) == 5 and "grid_search" in got[0]["error"] and json.loads(got[4]["request"])["name"] == "last"
+    assert [g.get("traversal_summary", {}).get("objective_cost") for g in got[1:4]] == [5.0, 10.0, None] and "negative" in got[3]["error"]
+    # One search for the requests that differ in their ends and weights only.
+    assert got[4]["traversal_summary"]["objective_cost"] == 3.0 and got[4]["search_seconds"] == got[1]["search_seconds"]
+
+
+def test_a_request_that_ends_early_is_an_error_of_its_own(spark, folder):
+    config = cfg.merge(cfg.load(folder / "app.toml"), {"termination": {"type": "iterations", "limit": 1}})
+    near, far = App.from_dict(spark, config).run([{"origin_vertex": 0, "destination_vertex": 3}, {"origin_vertex": 0, "destination_vertex": 2}])
+    assert edges_of(near) == [7] and "ended early" in far["error"]
+
+
+def test_edges_at_the_ends_are_part_of_routes_and_alternatives(spark, folder):
+    config = cfg.merge(cfg.load(folder / "app.toml"), {"mapping": {"matching_type": ["edge"]}})
+    asked = {"origin_edge": 7, "destination_edge": 3}  # 0 to 3, then 3 to 2, then 2 to 1
+    assert edges_of(App.from_dict(spark, config).run(asked)) == [7, 5, 3]
+    assert edges_of(App.from_dict(spark, config).run({"origin_edge": 7, "destination_edge": 5})) == [7, 5]
+    route = json.loads(App.from_dict(spark, cfg.merge(config, {"algorithm": {"type": "yens", "k": 1}})).run(asked)["route"])
+    assert [e["edge_id"] for e in route["edges"]] == [7, 5, 3]
+
+
+def test_polygons_of_a_configuration(spark, folder):
+    ring = [[-0.5, -0.5], [0.5, -0.5], [0.5, 0.5], [-0.5, 0.5], [-0.5, -0.5]]
+    (folder / "zones.json").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"weights": {"trip_distance": 3.0}}, "geometry": {"type": "Polygon", "coordinates": [ring]}}]}))
+    plugins = [{"type": "inject", "spatial_input_file": str(folder / "zones.json"), "source_key": "weights", "key": "weights"}]
+    config = cfg.merge(cfg.load(folder / "app.toml"), {"plugin": {"input_plugins": plugins}})
+    inside, outside = App.from_dict(spark, config).run([{"origin_x": 0.1, "origin_y": 0.1, "destination_vertex": 3}, {"origin_x": 1.0, "origin_y": 1.0, "destination_vertex": 3}])
+    assert (inside["traversal_summary"]["objective_cost"], outside["traversal_summary"]["objective_cost"]) == (6.0, 1.0)
+
+
 def test_bad_requests_do_not_stop_the_others(spark, folder):
     app = App.from_config_file(spark, folder / "app.toml")
     got = app.run([{"origin_vertex": 0, "destination_vertex": 1}, {"origin_vertex": 0, "destination_vertex": 1, "weights": {"nothing": 1.0}}, {"origin_vertex": 0, "destination_vertex": 1, "state_features": {"x": 1}}])
@@ -225,6 +259,8 @@ def test_outputs(spark):
     form = lambda f: {r.query_id: r.route for r in output.route_output(way, f, setup.features, lines).collect()}
     assert form("wkt")[2] == "LINESTRING (1.0 1.0, 0.0 1.0)" and form("wkb")[2].startswith("0102000000") and [e["edge_id"] for e in json.loads(form("edge_id")[0])] == [7, 5, 3]
     assert json.loads(form("geo_json")[0])["features"][0]["properties"]["edge_id"] == 7 and json.loads(form("json")[0])[0]["result_state"]["trip_distance"] > 0
+    wkb = {r.query_id: r.tree for r in output.tree_output(tree, "wkb", setup.features, lines).collect()}
+    assert all(t.startswith("010500000003000000" + "0102000000") for t in wkb.values())
     for f in ("wkt", "wkb", "json", "geo_json", "edge_id", "multipoint"):
         assert output.tree_output(tree, f, setup.features, lines).count() == 3
     features = sinks.tree_features(output.responses(asked.withColumn("request", F.lit("{}")).withColumn("error", F.lit(None).cast("string")).select("query_id", "request", "error"), output.tree_output(tree, "geo_json", setup.features, lines).withColumn("tree", F.from_json("tree", "type string, features array<struct<type:string,properties:struct<edge_id:long>>>"))))
