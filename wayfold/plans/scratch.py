@@ -14,6 +14,8 @@ import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: list[tuple[SparkSession, str]] = []
 _paths: dict[int, str] = {}  # by the identity of frames that are alive
 
@@ -32,11 +34,13 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, tag: str, replaces: DataFrame | None = None) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it again: computed once, and not lost with an executor.
 
-    ``replaces`` is a frame made here before that nothing but ``df`` needs: its table is deleted, so that a loop keeps one.
+    ``replaces`` is a frame made here before that nothing but ``df`` needs: its table is deleted, so that a loop keeps one. The
+    exchanges of the write are deleted when it has ended, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/wayfold/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _exchanges_end(spark):
+        df.write.parquet(path)
     _written.append((spark, path))
     made = spark.read.schema(df.schema).parquet(path)
     _paths[id(made)] = path
@@ -47,6 +51,17 @@ def materialise(df: DataFrame, tag: str, replaces: DataFrame | None = None) -> D
     return made
 
 
+@contextlib.contextmanager
+def _exchanges_end(spark: SparkSession):
+    """While it is open, the shuffle files of an execution go when the execution ends."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
