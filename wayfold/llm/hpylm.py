@@ -632,10 +632,11 @@ def score(docs: DataFrame, divisor: int = 7, remainder: int = 2, burn_in: int =
         discount = discount_of(alone, two)
         spelling = sample_spelling(keys, counts, seed=7 + sweep)
         model = WordModel(int(customers), words, open_, discount, strength, spelling)
-        values = materialise(added.filter(F.col("kind") == OPEN).unionByName(spread_words(added, met, model, parts)), "values")
         if sweep >= burn_in:
             model.spelled = spelled_mass(known, spelling)
             models.append(model.log10_unknown())
+        values = materialise(added.filter(F.col("kind") == OPEN).unionByName(spread_words(added, met, model, parts)), "values", added)
+        if sweep >= burn_in:
             own = values.withColumn("kind", F.col("kind") + 10 * len(models))
             kept = own if kept is None else kept.unionByName(own)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double, spelled_score double"
