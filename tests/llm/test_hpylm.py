@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from tests.llm.helpers import edge_docs, edge_rows, no_docs, prose
+from tests.llm.helpers import edge_docs, edge_rows, no_docs, odd_docs, odd_ids, prose
 from wayfold.llm.hpylm import OPEN, Contexts, WordModel, add_up, block_pairs, blocks, draw_contexts, known_words, meet, sample_spelling, score, states, stirling, tables
 from wayfold.llm.hpylm import VALUES, _counted, _floats, _unpack, _unpack_words
 
@@ -32,6 +32,8 @@ def test_counts_and_base_are_exact(spark):
 def test_edges(spark):
     assert score(edge_docs(spark)).count() == len(edge_rows())
     assert score(no_docs(spark)).count() == 0
+    odd = score(odd_docs(spark)).collect()
+    assert sorted(((r.doc_id, r.n_tokens) for r in odd), key=str) == sorted(((i, len(tokens(t))) for i, t in odd_ids()), key=str)
     lonely = spark.createDataFrame([(i, "only held out") for i in range(40) if held(i)], "doc_id long, text string")
     rows = score(lonely).collect()
     assert rows and all(r.train_tokens == 0 and r.n_known == 0 for r in rows)

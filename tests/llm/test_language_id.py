@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from tests.llm.helpers import edge_docs, edge_rows, no_docs
+from tests.llm.helpers import edge_docs, edge_rows, no_docs, odd_docs, odd_ids
 from wayfold.llm.language_id import PpmModel, codes_of, context_counts, identify, learn
 
 LANGUAGES = {"aa": "abcab", "bb": "bdebd", "cc": "xyzéx"}
@@ -111,3 +111,8 @@ def test_held_out_accuracy_and_defined_results(spark):
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(0, "text", None)], "doc_id long, text string, lang string")
     assert identify(docs).first().lang_pred == "und"
+
+
+def test_null_and_repeated_ids(spark):
+    rows = identify(odd_docs(spark).selectExpr("*", "'en' AS lang")).collect()
+    assert sorted(((r.doc_id, r.lang_pred) for r in rows), key=str) == sorted(((i, "en" if t else "und") for i, t in odd_ids()), key=str)
