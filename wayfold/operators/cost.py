@@ -92,7 +92,7 @@ class CostModel:
 
     def merged(self, weights: dict | None, rates: dict | None) -> CostModel:
         """A request's weights and rates before the configured ones, key by key."""
-        return CostModel(self.weights | (weights or {}), self.rates | {k: Rate.of(v) for k, v in (rates or {}).items()}, self.network, self.ignore_unknown)
+        return CostModel(self.weights | (weights or {}), self.rates | {k: Rate.of(v) for k, v in (rates or {}).items()}, self.network, self.ignore_unknown, self.own_weights)
 
     def parts(self, o, features: list[Feature], before: dict[str, Any], after: dict[str, Any], edge: dict | None) -> dict[str, Any]:
         """The unweighted cost of each feature. The network's charge on an accumulator is there before and after, and so
