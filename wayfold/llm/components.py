@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.hot import join_counted
+from wayfold.llm.hot import FEW, join_counted
 from wayfold.plans.scratch import materialise
 
 
@@ -67,12 +67,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     driver. An empty edge list has no components; loops and repeated edges change nothing.
     """
     now = materialise(contracted(edges.filter("a <> b")).filter("a <> b").distinct(), "edges")
-    before = least = None
+    before, written, n = None, None, now.count()
     for _ in range(rounds):
         # Large-star: every neighbour greater than a node is linked to the least of the node and its neighbours.
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialise(both.groupBy(F.col("a").alias("hub")).agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")), "least", least)
-        large = join_counted(both.filter("b > a"), least, [("a", "hub")], "n").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy(F.col("a").alias("hub")).agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        if 2 * n > FEW:  # there may be hubs
+            least = materialise(least, "least", written)
+            written = least
+        large = join_counted(both.filter("b > a"), least, [("a", "hub")], "n", total=2 * n).select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small-star: a node and its lesser neighbours are linked to the least of those.
         lesser = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
         small = lesser.groupBy("a").agg(F.min("b").alias("m"))
@@ -82,7 +85,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         stats = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(stats) == before:
             break
-        before = tuple(stats)
+        before, n = tuple(stats), stats[0]
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
