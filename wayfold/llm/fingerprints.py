@@ -196,6 +196,6 @@ def with_neighbours(rows: DataFrame, radius: int = 3, every: int = 20) -> DataFr
     counts = materialise(rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.count("*").alias("n"), F.bool_or(asked_for).alias("asked")), "counts")
     found = within(counts, counts.filter("asked"), radius).join(counts.select("fp", "n").hint("merge"), "fp").groupBy(F.col("query_fp")).agg((F.sum("n") - 1).alias("n_near"))
     near_of = materialise(counts.select("fp", F.col("n").alias("k")).join(found.hint("merge"), F.col("fp") == F.col("query_fp"), "left").select("fp", "k", "n_near"), "near")
-    joined = join_counted(rows, near_of, [("fingerprint", "fp")], "k")
+    joined = join_counted(rows, near_of, [("fingerprint", "fp")], "k", merge=True)
     near = F.when(F.col("doc_id") % every == 0, F.col("n_near")).alias("n_near")
     return joined.select("doc_id", "n_chars", "edited_sha256", as_hex("fingerprint").alias("fingerprint"), as_hex("edited_fingerprint").alias("edited_fingerprint"), "near_edited", "near_next", near)

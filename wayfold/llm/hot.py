@@ -11,16 +11,18 @@ from pyspark.sql import functions as F
 FEW = 20_000
 
 
-def join_counted(rows: DataFrame, table: DataFrame, on: list[tuple[str, str]], n: str, how: str = "inner", total: int | None = None) -> DataFrame:
+def join_counted(rows: DataFrame, table: DataFrame, on: list[tuple[str, str]], n: str, how: str = "inner", total: int | None = None, merge: bool = False) -> DataFrame:
     """``rows`` joined with ``table`` on pairs of columns; ``table`` has each key once, with the number ``n`` of its rows.
 
     A key with more rows than a quarter of a partition's share is hot. There are fewer hot keys than four times the shuffle
     partitions, whatever the data: they are broadcast and their rows stay where they are. The rest is an ordinary join. Both
     frames are read several times, so they should be written tables. ``how``: inner or left; ``total``: the sum of ``n``, if it is
-    known.
+    known; ``merge``: the rest is not broadcast even if Spark finds it small.
     """
     test = reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in on])
-    plain = rows.join(table.hint("merge"), test, how)
+    joined = lambda table: rows_left.join(table.hint("merge") if merge else table, test, how)
+    rows_left = rows
+    plain = joined(table)
     if total is not None and total <= FEW:
         return plain
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -30,5 +32,5 @@ def join_counted(rows: DataFrame, table: DataFrame, on: list[tuple[str, str]], n
         return plain
     hot = table.filter(F.col(n) > most)
     keys = hot.select(*(b for _, b in on))
-    rest = rows.join(F.broadcast(keys), test, "left_anti")
-    return rest.join(table.filter(F.col(n) <= most).hint("merge"), test, how).unionByName(rows.join(F.broadcast(hot), test))
+    rows_left = rows.join(F.broadcast(keys), test, "left_anti")
+    return joined(table.filter(F.col(n) <= most)).unionByName(rows.join(F.broadcast(hot), test))
