@@ -20,17 +20,18 @@ def join_counted(rows: DataFrame, table: DataFrame, on: list[tuple[str, str]], n
     known; ``merge``: the rest is not broadcast even if Spark finds it small.
     """
     test = reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in on])
-    joined = lambda table: rows_left.join(table.hint("merge") if merge else table, test, how)
-    rows_left = rows
-    plain = joined(table)
+
+    def joined(rows: DataFrame, table: DataFrame) -> DataFrame:
+        return rows.join(table.hint("merge") if merge else table, test, how)
+
     if total is not None and total <= FEW:
-        return plain
+        return joined(rows, table)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     told = table.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
     most = max(int(told[0]) // (4 * parts), FEW)
     if told[1] <= most:
-        return plain
+        return joined(rows, table)
     hot = table.filter(F.col(n) > most)
     keys = hot.select(*(b for _, b in on))
-    rows_left = rows.join(F.broadcast(keys), test, "left_anti")
-    return joined(table.filter(F.col(n) <= most)).unionByName(rows.join(F.broadcast(hot), test))
+    rest = rows.join(F.broadcast(keys), test, "left_anti")
+    return joined(rest, table.filter(F.col(n) <= most)).unionByName(rows.join(F.broadcast(hot), test))
