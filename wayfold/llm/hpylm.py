@@ -432,15 +432,16 @@ def _counted(found: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
     return v // 2, v % 2 == 1
 
 
-STATE = "block long, cuts array<int>, before binary, now binary, c binary, once binary, c_word binary"
+STATE = "block long, cuts array<int>, before binary, now binary, c binary, once binary, c_word binary, c_pair binary, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, places binary, words binary"
+DRAWN = ["block", "cuts", "before", "now", "c", "once", "c_word"]
 SUMS = "part int, block long, n binary"
 VALUES = "block long, part int, kind int, values binary"
 VALUE_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
 
 def states(cut: DataFrame, met: DataFrame, parts: int, tasks: int) -> DataFrame:
-    """What a block's draws need: the pairs that it owns and that are seen more than once, sums of those seen once, and where
-    the parts' slices of its words are."""
+    """Blocks with what their draws need: the pairs that they own and that are seen more than once, sums of those seen once,
+    and where the parts' slices of their words are; and with the counts of all words and pairs, for the end."""
 
     def made(block: pa.Table, found: pa.Table) -> pa.Table:
         words, lengths = _unpack_words(block.column("words")[0].as_py()), np.array(block.column("n_tokens")[0].as_py())
@@ -450,11 +451,14 @@ def states(cut: DataFrame, met: DataFrame, parts: int, tasks: int) -> DataFrame:
         k = np.flatnonzero(owned & (c > 1))
         k = k[np.lexsort((pairs.now[k], pairs.before[k]))]
         cuts = [x for one in _cuts(_hashes(words), parts) for x in one]
-        row = (block.column("block")[0].as_py(), cuts, _pack(np.diff(pairs.before[k], prepend=np.int32(0))), _pack(pairs.now[k]), _pack(c[k], "<u8"), _pack(once.ravel()), _pack(_counted(found, 0)[0], "<u8"))
-        return _table("block cuts before now c once c_word", [pa.int64(), pa.list_(pa.int32()), *[pa.binary()] * 5], [row])
+        row = (block.column("block")[0].as_py(), cuts, _pack(np.diff(pairs.before[k], prepend=np.int32(0))), _pack(pairs.now[k]), _pack(c[k], "<u8"), _pack(once.ravel()), _pack(_counted(found, 0)[0], "<u8"), _pack(c, "<u8"))
+        made = _table("block cuts before now c once c_word c_pair", [pa.int64(), pa.list_(pa.int32()), *[pa.binary()] * 6], [row])
+        for name in ("doc_id", "held_out", "n_tokens", "places", "words"):
+            made = made.append_column(name, block.column(name))
+        return made
 
     mine = met.filter("kind < 2").select("block", "part", "kind", "values").repartition(tasks, "block")
-    return cut.select("block", "n_tokens", "places", "words").repartition(tasks, "block").groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(made, STATE)
+    return cut.select("block", "doc_id", "held_out", "n_tokens", "places", "words").repartition(tasks, "block").groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(made, STATE)
 
 
 def _floats(found: pa.Table, kind: int) -> np.ndarray:
@@ -479,7 +483,7 @@ def draw_contexts(state: DataFrame, values: DataFrame, contexts: Contexts, sweep
         return _table("part block n", [pa.int32(), pa.int64(), pa.binary()], [(part, at, _pack(np.concatenate([open_[lo:hi], served[lo:hi]]), "<u8")) for part, lo, hi in cuts])
 
     told = values.select("block", "part", "kind", "values").repartition(tasks, "block")
-    return state.repartition(tasks, "block").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(draw, SUMS)
+    return state.select(*DRAWN).repartition(tasks, "block").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(draw, SUMS)
 
 
 #: Kinds of numbers for a block's slice of words: tables in each word's restaurant, log10 of the word restaurant's
@@ -506,7 +510,11 @@ def add_up(sums: DataFrame, met: DataFrame, parts: int) -> DataFrame:
 
 def _word_rows(met: DataFrame, parts: int) -> DataFrame:
     """The slices' places among the parts' words, and the words."""
-    return met.filter("kind IN (0, 2)").select("part", "block", "kind", "words").repartition(2 * parts, "part")
+    return word_rows(met).repartition(2 * parts, "part")
+
+
+def word_rows(met: DataFrame) -> DataFrame:
+    return met.filter("kind IN (0, 2)").select("part", "block", "kind", "words")
 
 
 def _places(rows: pa.Table) -> dict[int, np.ndarray]:
@@ -622,7 +630,9 @@ def score(docs: DataFrame, divisor: int = 7, remainder: int = 2, burn_in: int =
     met = materialise(meet(cut, parts), "met")
     tokens, words, ones, twos = _totals(met)
     contexts = Contexts(tokens, words, discount_of(ones, twos), strength)
-    state = materialise(states(cut, met, parts, tasks), "states")
+    state = materialise(states(cut, met, parts, tasks), "states", cut)
+    # Of what the blocks were told, sweeps need the words only.
+    met = materialise(word_rows(met), "places", met)
     model, values, kept, models = None, spark.createDataFrame([], VALUES), None, []
     for sweep in range(burn_in + samples):
         sums = draw_contexts(state, values, contexts, sweep, tasks)
@@ -644,10 +654,9 @@ def score(docs: DataFrame, divisor: int = 7, remainder: int = 2, burn_in: int =
     def finish(block: pa.Table, found: pa.Table) -> pa.Table:
         spelled, lengths = _unpack_words(block.column("words")[0].as_py()), np.array(block.column("n_tokens")[0].as_py())
         places = _unpack(block.column("places")[0].as_py())
-        c_word = _counted(found, 0)[0]
+        c_word, c = (_unpack(block.column(name)[0].as_py(), "<u8").astype(np.int64) for name in ("c_word", "c_pair"))
         base = np.log10((c_word + 1) / (contexts.tokens + contexts.words + 1))
         pairs = block_pairs(places, lengths, spelled)
-        c = _counted(found, 1)[0]
         c_before = c_word[pairs.before].astype(np.float64)
         # Averages of probabilities as multiples of the first sweep's word probabilities: spellings may be below all numbers.
         total, spelled_out, scale = np.zeros(len(c)), np.zeros(len(c)), None
@@ -673,6 +682,5 @@ def score(docs: DataFrame, divisor: int = 7, remainder: int = 2, burn_in: int =
         columns += [pa.array(add((c_word > 0)[places].astype(np.int64))), pa.array([contexts.tokens] * len(lengths), pa.int64()), pa.array(add(base[places])), pa.array(scored), pa.array(perplexity), pa.array(add(spelled_p[pairs.each]))]
         return pa.table(columns, names=[f.split()[0] for f in schema.split(", ")])
 
-    told = met.filter("kind < 2").select("block", "part", "kind", "values").unionByName(kept)
-    found = told.repartition(tasks, "block")
-    return cut.select("block", "doc_id", "held_out", "n_tokens", "places", "words").repartition(tasks, "block").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(finish, schema)
+    whole = state.select("block", "doc_id", "held_out", "n_tokens", "places", "words", "c_word", "c_pair")
+    return whole.repartition(tasks, "block").groupBy("block").cogroup(kept.repartition(tasks, "block").groupBy("block")).applyInArrow(finish, schema)
