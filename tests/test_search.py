@@ -204,6 +204,8 @@ def test_requests_with_weights_of_their_own_equal_single_runs(spark):
         alone = relax(n, requests(spark, [(0, None)]), Setup(models(), CostModel(w, rates))).collect()
         strip = lambda rows, q: {r.vertex_id: (round(r.g, 9), r.edge_id, round(r.total_cost, 9), r.depth, round(r.state.trip_time, 9)) for r in rows if r.query_id == q}
         assert strip(tree, i) == strip(alone, 0)
+    settled = search(n, batch, Setup(models(), CostModel({}, rates, own_weights=True)), "kernel").collect()
+    assert {(r.query_id, r.vertex_id): round(r.g, 9) for r in settled} == {(r.query_id, r.vertex_id): round(r.g, 9) for r in tree}
 
 
 def test_early_ends_are_errors_of_their_requests(spark):

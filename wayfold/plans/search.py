@@ -14,9 +14,10 @@ ended early without a route.
 
 from __future__ import annotations
 
+import copy
 import heapq
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 import numpy as np
@@ -470,9 +471,12 @@ def _kernel(network: Network, requests: DataFrame, setup: Setup, most: int) -> t
         if heuristic:
             place = {v: (x, y) for side in ("src", "dst") for v, x, y in zip(edges[side], edges[f"{side}_x"], edges[f"{side}_y"], strict=True)}
         rows = []
-        for query_id, origin, destination in zip(asked["query_id"], asked["origin"], asked["destination"], strict=True):
+        for query_id, origin, destination, weights in zip(asked["query_id"], asked["origin"], asked["destination"], asked["weights"], strict=True):
+            mine = copy.copy(setup)
+            if setup.cost.own_weights:
+                mine.cost = replace(setup.cost, weights={k: w for k, w in dict(weights).items() if k in setup.cost.weights}, own_weights=False)
             try:
-                tree = solve(arrays, setup, int(origin), None if pd.isna(destination) else int(destination), turns, place)
+                tree = solve(arrays, mine, int(origin), None if pd.isna(destination) else int(destination), turns, place)
                 rows += [(query_id, v, b, "", *row[:7], None if row[4] is None else "", row[7], {k: float(row[8][k]) for k in names}, None) for (v, b), row in tree.items()]
             except SearchError as e:
                 rows.append((query_id, *[None] * (len(columns) - 1), str(e)))
@@ -480,7 +484,8 @@ def _kernel(network: Network, requests: DataFrame, setup: Setup, most: int) -> t
 
     # The requests are few, but each of them is much work: a group for each of some tasks.
     slots = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), requests.count()))
-    asked = requests.select(F.col("query_id").cast("long").alias("query_id"), "origin", "destination", F.pmod(F.xxhash64(F.col("query_id").cast("long")), F.lit(slots)).cast("int").alias("slot"))
+    weights = F.col("weights") if setup.cost.own_weights else F.lit(None).cast("map<string,double>").alias("weights")
+    asked = requests.select(F.col("query_id").cast("long").alias("query_id"), "origin", "destination", weights, F.pmod(F.xxhash64(F.col("query_id").cast("long")), F.lit(slots)).cast("int").alias("slot"))
     copies = edges.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     made = asked.groupBy("slot").cogroup(copies.groupBy("slot")).applyInPandas(run, f"{TREE.format(state=setup.state_type())}, error string")
     made = materialise(made, "kernel")
@@ -489,8 +494,6 @@ def _kernel(network: Network, requests: DataFrame, setup: Setup, most: int) -> t
 
 def _without_frames(setup: Setup) -> Setup:
     """The setup with what kernels need only: constraints on steps, not the DataFrames of those already applied."""
-    import copy
-
     bare = copy.copy(setup)
     bare.constraint = Combined([p for p in setup.constraint.parts if not any(isinstance(v, DataFrame) for v in vars(p).values())])
     return bare
